@@ -2,7 +2,8 @@
 
 from .exact_dedup import ORACLE, op4_exact_dedup
 from .mixing import op6_mixing
+from .near_dedup import op9_near_dedup
 from .sharding import op2_sharding
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_exact_dedup, op6_mixing)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op4_exact_dedup, op6_mixing, op9_near_dedup)}
 ORACLES = {"op4_exact_dedup": ORACLE}
