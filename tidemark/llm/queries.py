@@ -1,9 +1,11 @@
 """The queries of this subpackage, by name, and SQL for those that SQL can express."""
 
 from .exact_dedup import ORACLE, op4_exact_dedup
+from .license_scan import op1_license_scan
 from .mixing import op6_mixing
 from .near_dedup import op9_near_dedup
 from .sharding import op2_sharding
+from .toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_exact_dedup, op6_mixing, op9_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_sharding, op4_exact_dedup, op6_mixing, op9_near_dedup, op10_toxicity)}
 ORACLES = {"op4_exact_dedup": ORACLE}
