@@ -50,8 +50,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class WordHasher:
     """``words(data)`` gives starts, ends (bytes) and hashes of the words in data, which has any length."""
 
-    def __init__(self, word_class: np.ndarray, segment: int = SEGMENT):
-        self.kind, self.segment, self.values = word_class, segment, _byte_values()
+    def __init__(self, word_class: np.ndarray, segment: int = SEGMENT, prefix: int = 0):
+        """prefix: hash only so many leading bytes of each word."""
+        self.kind, self.segment, self.values, self.prefix = word_class, segment, _byte_values(), prefix
         self.up, self.down = _powers(segment + 1)
         self.lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -63,8 +64,9 @@ class WordHasher:
         starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(self.values[data] * self.up[:n], out=total[1:])
-        raw = (total[ends] - total[starts]) * self.down[starts]
-        return starts, ends, mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        stop = np.minimum(ends, starts + self.prefix) if self.prefix else ends
+        raw = (total[stop] - total[starts]) * self.down[starts]
+        return starts, ends, mix(raw + (stop - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
     def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         whole = np.frombuffer(data, dtype=np.uint8)
@@ -80,7 +82,7 @@ class WordHasher:
                 else:  # one word longer than a segment
                     while end < len(whole) and self.kind[whole[end]]:
                         end += 1
-                    digest = hashlib.blake2b(data[at:end].translate(self.lower), digest_size=8).digest()
+                    digest = hashlib.blake2b(data[at : at + self.prefix if self.prefix else end].translate(self.lower), digest_size=8).digest()
                     parts.append((np.array([at]), np.array([end]), np.frombuffer(digest, dtype=np.uint64)))
                     at = end
                     continue

@@ -1,4 +1,5 @@
-"""Toxicity by non-negative positive-unlabelled learning (nnPU), a linear numpy classifier on hashed words.
+"""Toxicity by non-negative positive-unlabelled learning (nnPU), a linear numpy classifier on hashed words and
+word beginnings (``PREFIX`` bytes).
 
 Training: confirmed toxic rows (label 1) against unlabelled text, which is any training row, whatever its label.
 The risk is prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss; where the second term turns
@@ -20,19 +21,25 @@ from pyspark.sql import functions as F
 
 from ._words import ALNUM, WordHasher, texts_of
 
-BITS, POSITIVES, UNLABELLED = 18, 6000, 18000
-EPOCHS, RATE, DECAY, MIN_DOCS = 150, 0.05, 1e-5, 3
+BITS, POSITIVES, UNLABELLED, PREFIX = 18, 6000, 18000, 4
+EPOCHS, RATE, DECAY, MIN_DOCS, MIN_Z = 200, 0.05, 1e-5, 3, 5.0
 
 
 def held_out(id_col):
     return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
 
 
-def document_features(texts: list, hasher: WordHasher, bits: int):
-    """Distinct hashed words of each text: (features, bounds) for runs of texts."""
-    for _, hashes, bounds in hasher.documents(texts):
-        which = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
-        key = np.unique((which << np.uint64(bits)) | (hashes >> np.uint64(64 - bits)))
+def hashers() -> tuple[WordHasher, WordHasher]:
+    return WordHasher(ALNUM), WordHasher(ALNUM, prefix=PREFIX)
+
+
+def document_features(texts: list, pair: tuple[WordHasher, WordHasher], bits: int):
+    """Distinct hashed words and word beginnings of each text: (features, bounds) for runs of texts. Words fill
+    the lower half of the table, beginnings the upper."""
+    for (_, hashes, bounds), (_, begun, _) in zip(pair[0].documents(texts), pair[1].documents(texts), strict=True):
+        which = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64) << np.uint64(bits), np.diff(bounds))
+        shift, half = np.uint64(65 - bits), np.uint64(1 << (bits - 1))
+        key = np.unique(np.concatenate([which | (hashes >> shift), which | half | (begun >> shift)]))
         ends = np.searchsorted(key, np.arange(len(bounds), dtype=np.uint64) << np.uint64(bits))
         yield (key & np.uint64((1 << bits) - 1)).astype(np.int64), ends
 
@@ -47,7 +54,7 @@ def featurizer(bits: int):
     def run(batches):
         import pyarrow as pa
 
-        hasher = WordHasher(ALNUM)
+        hasher = hashers()
         for batch in batches:
             lists = []
             for features, ends in document_features(texts_of(batch), hasher, bits):
@@ -60,17 +67,20 @@ def featurizer(bits: int):
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY) -> tuple[np.ndarray, float]:
     """Weights of the hashed words, and the bias."""
     size = 1 << bits
-    seen = np.bincount(np.concatenate([*positive, *unlabelled]), minlength=size)
-    usable = seen >= MIN_DOCS
+    in_p, in_u = (np.bincount(np.concatenate(docs), minlength=size) for docs in (positive, unlabelled))
+    # A feature counts as its share among toxic texts stands out from that in unlabelled ones, in standard errors.
+    share = (in_p + in_u) / (len(positive) + len(unlabelled))
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / len(positive) + 1 / len(unlabelled)))
+    z = np.abs(in_p / len(positive) - in_u / len(unlabelled)) / error
+    scale = np.where((in_p + in_u >= MIN_DOCS) & (z >= MIN_Z), z, 0.0)
+    scale = np.minimum(1.0, scale / max(scale.max(), 1e-9) * 2)
+    usable = scale > 0
 
     def pack(docs):
         kept = [d[usable[d]] for d in docs]
         return np.concatenate([*kept, np.zeros(0, np.int64)]).astype(np.int64), np.cumsum([0, *map(len, kept)])
 
     groups = [pack(positive), pack(unlabelled)]
-    # frequent words say little and would drown the rest in long texts: their value shrinks with their share
-    share = seen / max(1, len(positive) + len(unlabelled))
-    scale = np.where(usable, np.minimum(1.0, np.sqrt(0.01 / np.maximum(share, 1e-9))), 0.0)
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -99,7 +109,7 @@ def scorer(model, bits: int):
     def run(batches):
         import pyarrow as pa
 
-        hasher = WordHasher(ALNUM)
+        hasher = hashers()
         weights, bias = model.value
         for batch in batches:
             out = [sums(weights[f].astype(np.float64), e) + bias for f, e in document_features(texts_of(batch), hasher, bits)]
