@@ -112,3 +112,24 @@ def texts_of(batch, column: str = "text") -> list:
 
     values = batch.column(column)
     return values.cast(pa.large_binary() if pa.types.is_large_string(values.type) else pa.binary()).to_pylist()
+
+
+class Vocabulary:
+    """Positions of word hashes in a sorted table; other words get its size."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.table = np.unique(hashes)
+        self.mask = np.zeros(1 << 20, dtype=bool)
+        self.mask[self.table >> np.uint64(44)] = True
+
+    def __len__(self) -> int:
+        return len(self.table)
+
+    def tokens(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), len(self.table), dtype=np.int32)
+        maybe = np.flatnonzero(self.mask[hashes >> np.uint64(44)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.table, hashes[maybe]), len(self.table) - 1)
+            hit = self.table[at] == hashes[maybe]
+            out[maybe[hit]] = at[hit]
+        return out

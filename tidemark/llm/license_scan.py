@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import ALNUM, WordHasher, texts_of
+from ._words import ALNUM, Vocabulary, WordHasher, texts_of
 
 MIN_MATCH, COVER, GAP = 4, 0.75, 8
 
@@ -124,8 +124,8 @@ class Scanner:
         texts = [t for _, t in (templates or TEMPLATES)] + list(base)
         self.hasher = WordHasher(ALNUM)
         hashed = [self.hasher.words(t.encode())[2] for t in texts]
-        self.vocabulary = np.unique(np.concatenate(hashed))
-        words = [np.searchsorted(self.vocabulary, h).tolist() for h in hashed]
+        self.vocabulary = Vocabulary(np.concatenate(hashed))
+        words = [self.vocabulary.tokens(h).tolist() for h in hashed]
         self.sizes = [len(w) for w in words]
         self.first_base = len(texts) - len(base)
         self.automaton = Automaton(words, list(range(self.first_base, len(texts))))
@@ -133,17 +133,6 @@ class Scanner:
         self.pair = np.zeros((n + 1, n + 1), dtype=bool)
         for w in words:
             self.pair[w[:-1], w[1:]] = True
-        self.mask = np.zeros(1 << 16, dtype=bool)
-        self.mask[self.vocabulary >> np.uint64(48)] = True
-
-    def tokens(self, hashes: np.ndarray) -> np.ndarray:
-        """Index in the vocabulary, or its size for other words."""
-        out = np.full(len(hashes), len(self.vocabulary), dtype=np.int32)
-        maybe = np.flatnonzero(self.mask[hashes >> np.uint64(48)])
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes[maybe]), len(self.vocabulary) - 1)
-        hit = self.vocabulary[at] == hashes[maybe]
-        out[maybe[hit]] = at[hit]
-        return out
 
     def runs(self, tokens: np.ndarray) -> list[tuple[int, int]]:
         """[first, last + 1) of the runs of three words or more whose neighbours all occur in templates."""
@@ -211,7 +200,7 @@ def scanner(templates=None, base=None):
         for batch in batches:
             rows = []
             for _, hashes, bounds in s.hasher.documents(texts_of(batch)):
-                tokens = s.tokens(hashes)
+                tokens = s.vocabulary.tokens(hashes)
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     r = s.scan(tokens[a:b])
                     good = [x for x in r["spans"] if x[3] >= COVER]

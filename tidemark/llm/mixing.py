@@ -70,31 +70,50 @@ def shard_quotas(quotas: DataFrame, shards: int) -> DataFrame:
     return each.select("source", "shard", (upto(F.col("shard") + 1) - upto(F.col("shard"))).cast("bigint").alias("seats"))
 
 
-def mix(docs: DataFrame, seed: int = SEED, buckets: int = BUCKETS, max_repeat: int = MAX_REPEAT, fine: int = FINE, block: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): words that the mix takes of each document."""
+def _sized(docs: DataFrame, seed: int, buckets: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"), F.xxhash64(text).alias("mark"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "mark", F.lit(seed)), F.lit(buckets)).cast("int"))
-    rows = materialize(rows, "mix")
-    totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    sizes = totals.groupBy("source").agg(F.sum("words").alias("source_size"))
+    rows = docs.withColumns({"__id": F.col(id_col), "__source": F.col(source_col), "__size": F.regexp_count(text, F.lit(WORD)).cast("bigint"), "__mark": F.xxhash64(text)})
+    return rows.withColumn("__bucket", F.pmod(F.xxhash64("__id", "__mark", F.lit(seed)), F.lit(buckets)).cast("int"))
+
+
+def _taken(rows: DataFrame, narrow: DataFrame, seed: int, max_repeat: int, fine: int, block: int | None) -> DataFrame:
+    """rows with __source_size, __target and __taken; narrow: the same rows, at least __source, __bucket and __size."""
+    totals = narrow.groupBy("__source", "__bucket").agg(F.sum("__size").alias("words"))
+    sizes = totals.groupBy(F.col("__source").alias("source")).agg(F.sum("words").alias("source_size"))
     quotas = seat_quotas(source_targets(sizes, max_repeat), fine, max_repeat, block)
     quotas = materialize(quotas.select(F.col("source").alias("of"), "source_size", "target", "block", "blocks", "seats"), "mix-quotas")
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.withColumn("bucket_start", before).join(quotas, F.col("source").eqNullSafe(F.col("of")))
-    starts = starts.select(F.col("source").alias("of"), F.col("bucket").alias("of_bucket"), "bucket_start", "source_size", "target", "block", "blocks", "seats")
-    order = Window.partitionBy("source", "bucket").orderBy("doc_id", "mark", "size")
-    placed = rows.withColumn("within", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("of_bucket")))
-    placed = placed.withColumn("start", F.col("bucket_start") + F.col("within")).withColumn("end", F.col("start") + F.col("size"))
-    full, more = F.floor(F.try_divide("seats", "blocks")), F.col("seats") % F.col("blocks")
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = totals.withColumn("__bucket_start", before).join(quotas, F.col("__source").eqNullSafe(F.col("of")))
+    starts = starts.select(F.col("__source").alias("__of"), F.col("__bucket").alias("__of_bucket"), "__bucket_start", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("block").alias("__block"), F.col("blocks").alias("__blocks"), F.col("seats").alias("__seats"))
+    order = Window.partitionBy("__source", "__bucket").orderBy("__id", "__mark", "__size")
+    placed = rows.withColumn("__within", F.coalesce(F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = placed.join(materialize(starts, "mix-starts"), F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__bucket") == F.col("__of_bucket")))
+    start, blocks, block_ = F.col("__bucket_start") + F.col("__within"), F.col("__blocks"), F.col("__block")
+    end = start + F.col("__size")
+    full, more = F.floor(F.try_divide("__seats", "__blocks")), F.col("__seats") % blocks
     prime = F.lit(PRIMES[seed % len(PRIMES)]).cast("bigint")
-    chosen = lambda i: (i * (prime % F.col("blocks")) + F.lit(seed)) % F.col("blocks") < more
-    words = lambda i: F.least(F.col("end"), (i + 1) * F.col("block")) - F.greatest(F.col("start"), i * F.col("block"))
-    span = F.sequence(F.floor(F.col("start") / F.col("block")), F.floor((F.col("end") - 1) / F.col("block")))
+    chosen = lambda i: (i * (prime % blocks) + F.lit(seed)) % blocks < more
+    words = lambda i: F.least(end, (i + 1) * block_) - F.greatest(start, i * block_)
+    span = F.sequence(F.floor(start / block_), F.floor((end - 1) / block_))
     extra = F.aggregate(span, F.lit(0).cast("bigint"), lambda acc, i: acc + F.when(chosen(i), words(i)).otherwise(F.lit(0)).cast("bigint"))
-    taken = F.when(F.col("size") > 0, F.col("size") * full + extra).otherwise(F.lit(0)).cast("bigint")
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return placed.withColumn("__taken", F.when(F.col("__size") > 0, F.col("__size") * full + extra).otherwise(F.lit(0)).cast("bigint"))
+
+
+def mix(docs: DataFrame, seed: int = SEED, buckets: int = BUCKETS, max_repeat: int = MAX_REPEAT, fine: int = FINE, block: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken): words that the mix takes of each document."""
+    rows = _sized(docs.select(id_col, text_col, source_col), seed, buckets, id_col, text_col, source_col)
+    rows = materialize(rows.select("__id", "__source", "__size", "__mark", "__bucket"), "mix")
+    out = _taken(rows, rows, seed, max_repeat, fine, block)
+    return out.select(*(F.col(f"__{c}").alias("doc_id" if c == "id" else c) for c in ("id", "source", "size", "source_size", "target", "taken")))
+
+
+def mixed_documents(docs: DataFrame, seed: int = SEED, buckets: int = BUCKETS, max_repeat: int = MAX_REPEAT, fine: int = FINE, block: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix as documents, all columns: each as often as its words are taken, rounded (so from 0 to max_repeat
+    times). Texts travel once, with the window's shuffle."""
+    rows = _sized(docs, seed, buckets, id_col, text_col, source_col)
+    times = F.floor(F.try_divide("__taken", "__size") + 0.5).cast("int")
+    out = _taken(rows, rows.select("__source", "__bucket", "__size"), seed, max_repeat, fine, block).withColumn("__times", F.coalesce(times, F.lit(0)))
+    return out.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The queries of this subpackage, by name, and SQL for those that SQL can express."""
 
+from .decontaminate import op3_decontaminate
 from .exact_dedup import ORACLE, op4_exact_dedup
 from .html_text import op8_html_text
 from .license_scan import op1_license_scan
@@ -10,5 +11,5 @@ from .token_counts import op7_token_counts
 from .token_files import op5_token_files
 from .toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_sharding, op4_exact_dedup, op5_token_files, op6_mixing, op7_token_counts, op8_html_text, op9_near_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_sharding, op3_decontaminate, op4_exact_dedup, op5_token_files, op6_mixing, op7_token_counts, op8_html_text, op9_near_dedup, op10_toxicity)}
 ORACLES = {"op4_exact_dedup": ORACLE}

@@ -147,5 +147,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def clean_filter(model, bits: int, text_col: str):
+    def run(batches):
+        import pyarrow as pa
+
+        hasher = hashers()
+        weights, bias = model.value
+        for batch in batches:
+            out = [sums(weights[f].astype(np.float64), e) + bias for f, e in document_features(texts_of(batch, text_col), hasher, bits)]
+            yield batch.filter(pa.array(np.concatenate([*out, np.zeros(0)]) < 0, pa.bool_()))
+
+    return run
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, **options) -> DataFrame:
+    """The documents that aren't predicted toxic, all columns, no shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), labels, bits=bits, **options))
+    return docs.mapInArrow(clean_filter(model, bits, text_col), docs.schema)
+
+
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
