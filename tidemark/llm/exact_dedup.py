@@ -70,7 +70,8 @@ def mark_duplicates(keyed: DataFrame, id_col: str, bits_per_key: int = BITS_PER_
     alone = tested.where("not __maybe").drop("__maybe").withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("bigint"), "kept": F.lit(True)})
     maybe = tested.where("__maybe").drop("__maybe")
     groups = maybe.groupBy(F.col("text_sha256").alias("__key")).agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    met = maybe.join(groups, F.col("text_sha256") == F.col("__key")).drop("__key").withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
+    # written first, so that both sides of the join are plain exchanges and a large group's rows can be split
+    met = maybe.join(materialize(groups, "groups"), F.col("text_sha256") == F.col("__key")).drop("__key").withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
     return alone.unionByName(met)
 
 
