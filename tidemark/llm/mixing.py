@@ -38,8 +38,8 @@ def source_targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     filled = everything.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     s = s.withColumns({"cap_before": F.coalesce(F.sum("cap").over(filled.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "weight_left": F.sum("weight").over(filled.rowsBetween(0, Window.unboundedFollowing))})
     # the level if all before this source are full; the first source at which it is not above its own cap sets it
-    s = s.withColumn("level", (F.col("total") - F.col("cap_before")) / F.col("weight_left"))
-    s = s.withColumn("x", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(everything)["level"])
+    s = s.withColumns({"level": (F.col("total") - F.col("cap_before")) / F.col("weight_left"), "place": F.row_number().over(filled)})
+    s = s.withColumn("x", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("place", "level"))).over(everything)["level"])
     return s.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("x"), F.lit(float("inf"))) * F.col("weight")))
 
 
