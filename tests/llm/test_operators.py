@@ -1,0 +1,462 @@
+"""Each operator against brute force on small tables, and on null, empty, long, tied and repeated rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, exact_dedup, html_text, license_scan, mixing, near_dedup, sharding, token_counts, token_files, toxicity
+from tidemark.llm._components import components
+from tidemark.llm._words import ALNUM, BLANK_SPLIT, WordHasher
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+BLANKS, WORDS = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def low(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def sentence(rng, n, pool=400):
+    return " ".join(f"w{rng.randrange(pool)}x" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, and columns with clashing names."""
+    rng = random.Random(5)
+    long = sentence(rng, 60_000, 5000)
+    rows = [(1, "Same Text", "en", "a", 9), (2, "same text", None, "b", None), (3, "SAME TEXT", "de", None, 1), (4, None, "en", "a", 0), (5, "", "en", "a", 0), (6, "one", "en", "b", 3)]
+    rows += [(7, long, "en", "a", len(long)), (8, long, "en", "c", 1), (None, "no id here", "en", "a", 1), (9, "  \t\n ", "en", "a", 1), (10, "Éé Straße 東京 " * 5, "fr", "é", 2)]
+    rows += [(11, "twice the same row", "en", "a", 1)] * 2 + [(12, "x" * 1_200_000, "en", "b", 1), (13, "fuck" * 3 + " <b>&amp;", "en", "b", 1)]
+    rows += [(20 + k, sentence(rng, 30), "en", "abc"[k % 3], 1) for k in range(40)]
+    df = spark.createDataFrame(rows, DOCS)
+    clash = {c: F.lit("clash") for c in ("size", "shard", "kept", "score", "taken", "labels", "slot", "node", "key", "start", "words", "ids", "month", "sig")}
+    return df.withColumns(clash)
+
+
+def rows_of(df, *columns):
+    return [tuple(r) for r in df.select(*columns).collect()]
+
+
+def test_word_hashes():
+    rng = random.Random(1)
+    for kind, pattern in ((BLANK_SPLIT, BLANKS), (ALNUM, WORDS)):
+        for segment in (64, 1 << 20):
+            hasher, seen, back = WordHasher(kind, segment), {}, {}
+            texts = ["".join(rng.choice("aB c\t\n-é0_東\x7f.Z") for _ in range(rng.randrange(200))) for _ in range(60)] + ["", "q" * 500]
+            data = [t.encode() for t in texts]
+            got = [h[b[i] : b[i + 1]].tolist() for _, h, b in hasher.documents(data) for i in range(len(b) - 1)]
+            for text, hashes in zip(texts, got, strict=True):
+                words = re.findall(pattern, low(text))
+                assert len(words) == len(hashes)
+                for w, h in zip(words, hashes, strict=True):
+                    assert seen.setdefault(w, h) == h and back.setdefault(h, w) == w
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1100)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    assert dict(rows_of(components(df, "a", "b"), "node", "root")) == {x: find(x) for e in edges for x in e if e[0] != e[1]}
+
+
+# --- op4
+@pytest.mark.parametrize("options", [{}, {"bits_per_key": 1, "max_filter_bits": 1}])
+def test_exact_dedup(spark, odd, options):
+    made = exact_dedup.exact_dedup(odd, **options)
+    groups = defaultdict(list)
+    source = rows_of(odd, "doc_id", "text")
+    for i, t in source:
+        groups[low(t)].append(i)
+    want = Counter()
+    for i, t in source:
+        keep = max((x for x in groups[low(t)] if x is not None), default=None)
+        want[i, keep, len(groups[low(t)]), i == keep, hashlib.sha256(low(t).encode()).hexdigest()] += 1
+    assert Counter(rows_of(made, "doc_id", "keep_id", "group_size", "kept", "text_sha256")) == want
+    assert made.where("kept = 'clash'").isEmpty() if dict(made.dtypes)["kept"] == "string" else True
+    assert exact_dedup.exact_dedup(odd.limit(0)).count() == 0
+
+
+def test_filter_only_lets_uniques_through(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
+    made = exact_dedup.exact_dedup(df)
+    assert made.where("text = 'hot' and group_size = 1000").count() == 1000 and made.where("kept").count() == 2001
+
+
+# --- op2
+def test_sharding(spark, odd):
+    for df in (odd, odd.limit(0), spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"))):
+        rows = sharding.shard_rows(df, shards=7).collect()
+        assert len(rows) == df.count()
+        slots = defaultdict(list)
+        for r in rows:
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        if rows:
+            counts = [len(slots.get(k, ())) for k in range(7)]
+            assert max(counts) - min(counts) <= 1
+    sizes = {(i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows_of(odd, "doc_id", "text")}
+    assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in sharding.shard_rows(odd).collect()} == sizes
+
+
+def test_ring_moves_few():
+    arcs = sharding.ring(24)
+    counts = {i: 40 + (i * 7919) % 30 for i in range(len(arcs))}
+    pieces = sharding.walk(arcs, counts, sharding.bounds(sum(counts.values()), 24))
+    ends = defaultdict(list)
+    for arc, first, shard, _ in pieces:
+        ends[arc].append((first, shard))
+    moved = 0
+    for arc, own in ends.items():
+        own.sort()
+        for (first, shard), stop in zip(own, [*(f for f, _ in own[1:]), counts[arc]], strict=True):
+            moved += (stop - first) * (shard != arcs[arc][1])
+    assert sum(counts.values()) * 0.2 > moved
+    assert {c for c, s in sharding.ring(24)} < {c for c, s in sharding.ring(25)} or len(sharding.ring(25)) == 25 * sharding.VNODES
+
+
+# --- op6
+def targets(sizes, repeat=3):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    total, full = sum(sizes.values()), set()
+    while True:
+        left = total - sum(repeat * sizes[s] for s in full)
+        free = sum(weight[s] for s in names if s not in full)
+        t = {s: repeat * sizes[s] if s in full else left * weight[s] / free for s in names}
+        more = {s for s in names if s not in full and t[s] > repeat * sizes[s]}
+        if not more:
+            return t
+        full |= more
+
+
+def test_targets_and_quotas(spark):
+    rng = random.Random(3)
+    for case in range(4):
+        sizes = {f"s{k:02d}": rng.choice([0, 1, 7, 300, 5000, 200_000]) for k in range(rng.randrange(2, 12))} | ({None: 50} if case % 2 else {}) | {"zz": 10_000}
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
+        got = {r["source"]: r for r in mixing.seat_quotas(mixing.source_targets(df), block=37).collect()}
+        want = targets(sizes)
+        assert all(got[s]["target"] == pytest.approx(want[s], abs=1e-6) for s in sizes)
+        # highest quotients, one seat at a time
+        seats = dict.fromkeys(sizes, 0)
+        order = sorted(sizes, key=lambda s: (s is not None, (s or "").encode()))
+        order = [s for s in order if s is not None] + [None] * (None in sizes)
+        blocks = {s: -(-sizes[s] // 37) for s in sizes}
+        for _ in range(round(sum(sizes.values()) / 37)):
+            best = max((s for s in order if seats[s] < 3 * blocks[s]), key=lambda s: want[s] / (2 * seats[s] + 1))
+            seats[best] += 1
+        assert all(abs(got[s]["seats"] - seats[s]) <= 1 for s in sizes) and sum(g["seats"] for g in got.values()) == sum(seats.values())
+        parts = mixing.shard_quotas(mixing.seat_quotas(mixing.source_targets(df), block=37), 5).groupBy("source").agg(F.sum("seats").alias("n"), (F.max("seats") - F.min("seats")).alias("spread")).collect()
+        assert all(p["n"] == got[p["source"]]["seats"] and p["spread"] <= 1 for p in parts)
+
+
+def test_mix(spark, odd):
+    for df in (odd, odd.limit(0), spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("source"))):
+        rows = mixing.mix(df).collect()
+        assert sorted((r["doc_id"] or -1, r["size"]) for r in rows) == sorted((i or -1, len(re.findall(BLANKS, t or ""))) for i, t in rows_of(df, "doc_id", "text"))
+        assert all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
+        taken, target = Counter(), {}
+        for r in rows:
+            taken[r["source"]] += r["taken"]
+            target[r["source"]] = r["target"]
+        assert all(abs(taken[s] - t) <= max(0.01 * t, 60) for s, t in target.items())
+        again = mixing.mix(df.repartition(3)).collect()
+        assert Counter((r["doc_id"], r["size"], r["taken"]) for r in rows) == Counter((r["doc_id"], r["size"], r["taken"]) for r in again)
+    out = mixing.mixed_documents(odd)
+    assert out.columns == odd.columns and out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 6
+
+
+# --- op9
+def brute_components(rows, size, percent):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(BLANKS, low(t))
+        sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {(i, len(sets[i]), find(i), find(i) == i) for i in ids}
+
+
+def edited(rng, words, share):
+    return " ".join(f"e{rng.randrange(10**6)}" if rng.random() < share else w for w in words)
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_dedup(spark, size):
+    rng = random.Random(size)
+    rows = [(k, sentence(rng, 60)) for k in range(60)]
+    for base in range(12):  # groups whose members are near the threshold
+        words = sentence(rng, 120).split()
+        rows += [(1000 * (base + 1) + k, edited(rng, words, rng.choice([0, 0.01, 0.02, 0.04, 0.05]))) for k in range(12)]
+    rows += [(50_000 + k, rows[5][1].upper()) for k in range(5)] + [(60_000, None), (60_001, ""), (60_002, "one"), (60_003, "ONE"), (60_004, " ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = set(rows_of(near_dedup.near_components(df, size=size, block=4), "doc_id", "n_shingles", "component_id", "kept"))
+    assert got == brute_components(rows, size, 80)
+
+
+def test_near_dedup_odd_rows(spark, odd):
+    got = near_dedup.near_components(odd)
+    assert got.count() == odd.count() and got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    by = {r["doc_id"]: r for r in got.collect()}
+    assert by[8]["component_id"] == 7 and by[2]["component_id"] == 1 and by[None]["component_id"] is None and by[None]["kept"] and by[4]["n_shingles"] == 0 and by[5]["kept"]
+    assert near_dedup.near_components(odd.limit(0)).count() == 0
+    left = near_dedup.one_of_each(odd)
+    assert left.columns == odd.columns and sorted(r[0] or 0 for r in left.select("doc_id").collect()) == sorted({i or 0 for i, in odd.select("doc_id").collect()} - {2, 3, 8})
+
+
+def test_bayes_bounds():
+    steps = near_dedup.least_matches(0.8, 192, 32, 1e-4)
+    assert [n for n, _ in steps] == [32, 64, 96, 128, 160, 192]
+    rng = np.random.default_rng(0)
+    x = np.zeros((4000, 192), dtype=np.uint16)
+    same = (rng.random((4000, 192)) < 0.8).astype(np.uint16)
+    assert len(near_dedup.survivors(x, 1 - same, steps)) >= 3990
+    far = (rng.random((4000, 192)) < 0.5).astype(np.uint16)
+    assert len(near_dedup.survivors(x, 1 - far, steps)) == 0
+
+
+# --- op1
+def test_license_scan_base_places(spark, odd):
+    rng = random.Random(4)
+    phrases = list(license_scan.BASE)
+    rows = []
+    for k in range(120):
+        parts = [rng.choice([*phrases, "the", "license", "under", "cc by", "apache license version", "mit", "word", "MIT", "under the mit License", "version 2"]) for _ in range(rng.randrange(14))]
+        rows.append((k, rng.choice([" ", ", ", "\n", "--"]).join(parts)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(df).collect()}
+    for i, t in rows:
+        w = re.findall(WORDS, low(t))
+        places, names = [], set()
+        for p, label in license_scan.BASE.items():
+            q = p.split()
+            found = [a for a in range(len(w)) if w[a : a + len(q)] == q]
+            places += found
+            names |= {label} if found else set()
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(names)))
+        assert names <= set(r["labels"].split(",")) | {""} and 0 <= r["score"] <= 1
+    assert license_scan.scan_licenses(odd).count() == odd.count() and license_scan.scan_licenses(odd.limit(0)).count() == 0
+
+
+def test_license_spans_and_automaton():
+    scanner = license_scan.Scanner()
+    text = "junk " + license_scan.TEMPLATES[5][1].replace("modification", "any modification") + " junk"
+    r = scanner.scan(scanner.vocabulary.tokens(scanner.hasher.words(text.encode())[2]))
+    assert any(s[0] == "bsd" and s[3] >= 0.75 and s[1] == 1 for s in r["spans"]) and r["n_base"] == 0 and r["score"] > 0.75
+    rng = random.Random(6)
+    texts = [[rng.randrange(4) for _ in range(rng.randrange(1, 12))] for _ in range(12)]
+    automaton = license_scan.Automaton(texts, [0])
+    stream = [rng.randrange(5) for _ in range(400)]
+    every = {tuple(t[a:b]) for t in texts for a in range(len(t)) for b in range(a + 1, len(t) + 1)}
+    for i, (state, n) in enumerate(automaton.stream(stream)):
+        longest = next((k for k in range(min(12, i + 1), 0, -1) if tuple(stream[i + 1 - k : i + 1]) in every), 0)
+        assert n == longest
+        assert any(p == 0 and size <= n for p, size in automaton.phrases[state]) == (tuple(stream[max(0, i + 1 - len(texts[0])) : i + 1]) == tuple(texts[0]))
+        if n:
+            assert {(t, e) for t, e in automaton.ends[state] if texts[t][e - n + 1 : e + 1] == stream[i + 1 - n : i + 1]} == {(t, e) for t, own in enumerate(texts) for e in range(n - 1, len(own)) if own[e - n + 1 : e + 1] == stream[i + 1 - n : i + 1]}
+
+
+# --- op5, op7
+def test_token_files(spark, odd, tmp_path):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(token_files.tokenizer_path())
+    path = str(tmp_path / "tokens")
+    token_files.write_tokens(odd, path, parts=5)
+    rows = sorted(rows_of(odd, "doc_id", "text"), key=lambda r: (r[0] is not None, r[0] or 0))
+    made = token_files.read_starts(spark, path).orderBy(F.col("start")).collect()
+    assert [r["doc_id"] for r in made] == [i for i, _ in rows]
+    texts = defaultdict(list)
+    for r in token_files.read_tokens(spark, path).collect():
+        texts[r["doc_id"]].append(r["ids"])
+    start = 0
+    for r, (i, t) in zip(made, rows, strict=True):
+        ids = whole.encode(t or "", add_special_tokens=False).ids + [1]
+        assert (r["start"], r["n_tokens"]) == (start, len(ids)) and ids in texts[i]
+        start += len(ids)
+    token_files.write_tokens(odd.limit(0), str(tmp_path / "none"), parts=2)
+    assert token_files.read_starts(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_piece_encoder_is_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    whole, own = Tokenizer.from_file(token_files.tokenizer_path()), token_files.PieceEncoder(token_files.tokenizer_path(), cache=50)
+    rng = random.Random(8)
+    pool = [chr(c) for c in range(0x250)] + ["'s", "'re", " ", "\n", "<|endoftext|>", "<|startoftext|>", "́", "Σ", "σ", "İ", " ", "東", "가", "😀", "ﬁ", "٠"] + ["a", "B", ".", ",", " "] * 9
+    for _ in range(4000):
+        t = "".join(rng.choice(pool) for _ in range(rng.randrange(16)))
+        assert np.frombuffer(own.text(t), dtype="<i4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts(spark, odd, rule):
+    encoding, width = token_counts.load(*token_counts.rank_file())
+    sample = odd.where("doc_id <> 12")
+    got = defaultdict(list)
+    for r in token_counts.section_tokens(sample, rule).collect():
+        got[r["doc_id"]].append((r["section"], r["n_bytes"], r["n_tokens"], r["n_crossing"], r["doc_tokens"]))
+    rows = rows_of(sample, "doc_id", "text") + [(-1, "a\n\nbb\n \n  c\r\n")]
+    for i, t in rows[:-1]:
+        if not t:
+            assert i not in got
+            continue
+        assert sum(x[2] for x in got[i]) == len(encoding.encode_ordinary(t)) * len(got[i]) // (max(x[0] for x in got[i]) + 1)
+    # token by token, byte by byte
+    t = rows[-1][1]
+    data, ids = t.encode(), encoding.encode_ordinary(t)
+    line_of = [data[:k].count(b"\n") for k in range(len(data))]
+    starts, at, want, cross = token_counts.line_starts(data), 0, Counter(), Counter()
+    for x in ids:
+        held = line_of[at : at + int(width[x])]
+        own = held[0] if rule == "first" else held[-1] if rule == "last" else max(sorted(set(held)), key=held.count)
+        want[own] += 1
+        cross[own] += len(set(held)) > 1
+        at += int(width[x])
+    tokens, crossing = token_counts.attribute(np.cumsum(width[np.array(ids)]), starts, rule)
+    assert tokens.tolist() == [want[k] for k in range(len(starts))] and crossing.tolist() == [cross[k] for k in range(len(starts))]
+    assert token_counts.section_tokens(odd.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        token_counts.section_tokens(odd, "other")
+
+
+# --- op8
+def test_html():
+    f = lambda x: html_text.extract(x)[1]
+    assert f("<p>a<p>b<ul><li>x<li>y<ol><li>q<li>r</ol></ul>c") == "a\n\nb\n\n- x\n- y\n  1. q\n  2. r\n\nc"
+    assert f("<table><tr><td>a<td>bb<tr><td>ccc<td>d</table>") == "a    bb\nccc  d"
+    assert f("<table><thead><tr><th>k<th>v<tbody><tr><td colspan=2>wide<tr><td>p<td>q</table>") == "k     v\nwide\np     q"
+    assert f("x<div hidden>no</div><span style='color:red; display : none'>no</span><i style='visibility:hidden'>no</i>y") == "xy"
+    assert f("<pre>a\n  b</pre>c &lt;&amp; d<br>e") == "a\n  b\n\nc <& d\ne"
+    assert f("<script>var x='</p>';</script><style>p{}</style>t<!-- c --><noscript>n</noscript>") == "t"
+    assert f("a <b>b</b>c  \n d") == "a bc d" and f("<b>x<p>y</b>z") == "x\n\nyz"
+    assert html_text.extract("<title>T &amp; t</title><body>b") == ("T & t", "b") and html_text.extract(None) == ("", "")
+    assert f("1 < 2 <3 </ <") == "1 < 2 <3 </ <" and f('<a href="x>y" title=\'>\'>l</a>') == "l"
+    assert f("<div>" * 50_000 + "deep") == "deep" and f("<table><td>" * 2000 + "t") == "t" and f("<ol start=5><li>a<li>b") == "5. a\n6. b"
+    assert f("<table>" + "<tr><td>" + "w" * 500 + "<td>s" + "<tr><td>a<td>b</table>") == "w" * 500 + "  s\na  b"
+
+
+def test_html_pages(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a"), (None, None, None), (2, "u", ""), (2, "u", "")], "page_id bigint, url string, html string").withColumns({"text": F.lit("x"), "title": F.lit(3)})
+    assert Counter(rows_of(html_text.extract_pages(pages), "page_id", "text")) == Counter({(1, "a"): 1, (None, ""): 1, (2, ""): 2})
+    assert html_text.extract_pages(pages.limit(0)).count() == 0
+
+
+# --- op3
+def test_decontamination(spark, odd):
+    rng = random.Random(9)
+    bench = [(k, sentence(rng, rng.randrange(25, 70), 3000)) for k in range(30)] + [(100, None), (101, "too short"), (102, bench_text := sentence(rng, 40, 3000)), (103, bench_text)]
+    rows, want, near = [], set(), set()
+    for k in range(400):
+        words = sentence(rng, rng.randrange(40, 300), 3000).split()
+        if k % 8 == 0:
+            i, t = bench[rng.randrange(30)]
+            own = t.split()
+            if k % 16 == 0:  # a paraphrase: some words changed, dropped or added
+                own = [w for w in ((f"p{rng.randrange(10**6)}" if rng.random() < 0.12 else w) for w in own) if rng.random() > 0.06]
+                near.add((k, i))
+            else:
+                want.add((k, i))
+            at = rng.randrange(len(words))
+            words[at:at] = own
+        rows.append((k, " ".join(words).title()))
+    rows.append((900, "x " + bench_text))
+    want |= {(900, 102), (900, 103)}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    b = spark.createDataFrame(bench, "item_id bigint, text string")
+    found = decontaminate.find_leaks(df, b)
+    got = set(rows_of(found, "doc_id", "item_id"))
+    assert want <= got and len(near & got) >= 0.9 * len(near) and got <= want | near
+    for r in found.where("doc_id = 900").collect():
+        assert (r["first_word"], r["last_word"], r["lcs_share"]) == (1, 40, 1.0)
+    clean = decontaminate.drop_leaks(df, b)
+    assert {r[0] for r in clean.select("doc_id").collect()} == {i for i, _ in rows} - {i for i, _ in got}
+    assert decontaminate.drop_leaks(odd, b).count() == odd.count() and decontaminate.drop_leaks(odd, b).columns == odd.columns
+    assert decontaminate.find_leaks(odd.limit(0), b).count() == 0 and decontaminate.find_leaks(df, b.limit(0)).count() == 0
+
+
+def test_lcs_and_latent_vectors():
+    rng = random.Random(10)
+    for _ in range(200):
+        x, y = ([rng.randrange(5) for _ in range(rng.randrange(14))] for _ in range(2))
+        pairs = decontaminate.lcs_pairs(x, y)
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, c in enumerate(y):
+                table[i + 1][j + 1] = table[i][j] + 1 if a == c else max(table[i][j + 1], table[i + 1][j])
+        assert decontaminate.lcs_length(x, y) == len(pairs) == table[-1][-1]
+        assert all(x[i] == y[j] for i, j in pairs) and pairs == sorted(pairs)
+    g = np.random.default_rng(0)
+    a = g.standard_normal((300, 6)) @ g.standard_normal((6, 50))
+    test = g.standard_normal((50, 12))
+    v = decontaminate.leading_vectors(a.T @ (a @ test), test, 6)
+    exact = np.linalg.svd(a, full_matrices=False)[2][:6].T
+    assert np.linalg.norm(exact @ exact.T - v @ v.T) < 1e-6
+
+
+# --- op10
+def test_toxicity(spark, odd):
+    rng = random.Random(11)
+    bad = ["vile", "nasty", "rotten", "grim"]
+    rows, labels = [], []
+    for k in range(900):
+        words, toxic = sentence(rng, rng.randrange(5, 80)).split(), rng.random() < 0.15
+        if toxic:
+            for _ in range(rng.randrange(2, 4)):
+                words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append((k, " ".join(words)))
+        if k % 3:
+            labels.append((k, int(toxic)))
+    df, lab = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    made = {r["doc_id"]: r for r in toxicity.toxicity(df, lab).collect()}
+    held = [(made[k], t) for k, t in labels if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert all(m["held_out"] for m, _ in held) and all(made[k]["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) for k, _ in rows)
+    right = sum(m["predicted"] == t for m, t in held) / len(held)
+    assert right >= 0.97, right
+    assert all(m["predicted"] == int(m["score"] >= 0.5) and 0 <= m["score"] <= 1 for m in made.values())
+    # held-out labels don't matter
+    flipped = lab.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert {r["doc_id"]: r["score"] for r in toxicity.toxicity(df, flipped).collect()} == {k: m["score"] for k, m in made.items()}
+    assert toxicity.toxicity(odd, lab).count() == odd.count() and toxicity.toxicity(odd.limit(0), lab).count() == 0
+    assert {r["predicted"] for r in toxicity.toxicity(df, lab.limit(0)).collect()} == {0}
+    kept = toxicity.drop_toxic(odd, lab)
+    assert kept.columns == odd.columns
+
+
+def test_nnpu_risk_is_not_negative():
+    rng = np.random.default_rng(1)
+    positive = [np.array([1, *rng.integers(10, 60, 5)]) for _ in range(40)]
+    unlabelled = [np.unique(rng.integers(10, 60, 6)) for _ in range(300)] + [np.array([1, *rng.integers(10, 60, 5)]) for _ in range(30)]
+    flat = lambda docs: (np.concatenate(docs).astype(np.int32), np.cumsum([0, *map(len, docs)]))
+    w, b = toxicity.train(flat(positive), flat(unlabelled), 30 / 330, bits=8)
+    assert w[1] + b > 0 > b

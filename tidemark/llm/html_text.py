@@ -34,6 +34,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CELLS, SECTIONS = frozenset(("td", "th")), frozenset(("thead", "tbody", "tfoot"))
 SCOPE = frozenset("html table td th caption template button object".split())
 LISTS = frozenset("ul ol menu".split())
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 REST = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+""")
@@ -135,6 +136,9 @@ class Builder:
             self.close(HEADINGS, SCOPE)
         elif tag in CELLS or tag == "tr" or tag in SECTIONS or tag in ("table", "caption"):
             self.close((tag,), () if tag == "table" else ("table",))
+        elif tag in FORMATTING and (at := self.find((tag,), SCOPE)) and any(n.tag in BLOCKS for n in self.stack[at + 1 :]):
+            self.counts[tag] -= 1  # misnested: the blocks inside stay open
+            del self.stack[at]
         elif tag not in ("html", "body"):
             self.close((tag,), SCOPE)
 
