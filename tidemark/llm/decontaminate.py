@@ -3,9 +3,10 @@
 1. Passages are runs of ``PASSAGE`` words. Terms are the benchmark's words; their passage frequencies, over all
    documents, give TF-IDF weights. A term in more than ``STOP`` of the passages (and more than ``STOP_LEAST``) is a stop
    term of weight 0, unless its item has too few others.
-2. Distributed randomised SVD: each task sends A' (A W) of its passages, A being its TF-IDF rows and W first a random
-   matrix, then the orthonormal basis of the first round (a power iteration). Partial results are summed in a tree
-   of bounded fan-in. Terms beyond ``FEATURES`` share features by their number.
+2. Distributed randomised SVD in one pass: each task sends A' (A W) of its passages, A being its TF-IDF rows and W a
+   random matrix of ``SKETCH`` columns. Partial results are summed in a tree of bounded fan-in; the right singular
+   vectors of A follow from the sum and W (Nystrom), the leading ``RANK`` are kept. Terms beyond ``FEATURES`` share
+   features by their number.
 3. Search: windows over each whole document, of lengths and strides that hold every item in some window, are
    projected by the basis. A window is a candidate for an item when the cosine and the covered share of the item's
    latent vector pass. Windows whose terms weigh too little to cover an item aren't projected.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._words import ALNUM, Vocabulary, WordHasher, texts_of
 
-PASSAGE, STOP, STOP_LEAST, LEAST, RANK, FEATURES, FAN_IN = 32, 0.01, 50, 5, 128, 1 << 14, 8
+PASSAGE, STOP, STOP_LEAST, LEAST, RANK, SKETCH, FEATURES, FAN_IN = 32, 0.002, 50, 5, 64, 80, 1 << 14, 8
 COSINE, COVERED, LCS, LCS_WEIGHT, ANSWER = 0.5, 0.5, 0.6, 0.6, 0.5
 BLOCK_BYTES = 4 << 20
 
@@ -136,24 +137,31 @@ def term_weights(items: Items, frequency: np.ndarray, n: float) -> np.ndarray:
     return np.where(stop, 0.0, weight)
 
 
-def fit(docs: DataFrame, items: Items, shared, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
+def leading_vectors(sketch: np.ndarray, test: np.ndarray, rank: int) -> np.ndarray:
+    """Leading eigenvectors of a positive semidefinite G from sketch = G test."""
+    shift = np.finfo(float).eps * np.linalg.norm(sketch)
+    shifted = sketch + shift * test
+    core = test.T @ shifted
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    good = values > max(values.max(), 0) * 1e-12
+    root = vectors[:, good] / np.sqrt(values[good])
+    return np.linalg.svd(shifted @ root, full_matrices=False)[0][:, :rank]
+
+
+def fit(docs: DataFrame, items: Items, shared, rank: int = RANK, sketch: int = SKETCH) -> tuple[np.ndarray, np.ndarray]:
     """(weight of each term, features x rank basis)."""
     spark = docs.sparkSession
     parts, features = docs.rdd.getNumPartitions(), min(len(items.vocabulary), FEATURES)
     total = tree_sum(docs.mapInArrow(frequencies(shared), "part bigint, payload binary"), parts)
     n = len(items.vocabulary)
     weight = term_weights(items, total[:n], total[n]) if total is not None else np.ones(n)
-    basis = np.random.default_rng(3).standard_normal((features, min(rank, features))).astype(np.float32)
-    for _ in range(2):
-        model = spark.sparkContext.broadcast((weight, basis))  # at most BLOCK_BYTES of terms, FEATURES x rank
-        product = tree_sum(docs.mapInArrow(gram_product(shared, model), "part bigint, payload binary"), parts)
-        model.unpersist()
-        if product is None or not product.any():
-            break
-        basis = np.linalg.qr(product.reshape(basis.shape))[0].astype(np.float32)
-    else:
-        return weight, basis
-    return weight, np.linalg.qr(basis)[0].astype(np.float32)
+    test = np.random.default_rng(3).standard_normal((features, min(sketch, features))).astype(np.float32)
+    model = spark.sparkContext.broadcast((weight, test))  # at most BLOCK_BYTES of terms, FEATURES x SKETCH
+    product = tree_sum(docs.mapInArrow(gram_product(shared, model), "part bigint, payload binary"), parts)
+    model.unpersist()
+    if product is None or not product.any():
+        return weight, np.linalg.qr(test)[0][:, :rank].astype(np.float32)
+    return weight, leading_vectors(product.reshape(test.shape), test.astype(np.float64), min(rank, features)).astype(np.float32)
 
 
 def lcs_pairs(x: list, y: list) -> list[tuple[int, int]]:
@@ -207,11 +215,16 @@ class Searcher:
         while len(lengths) and low < lengths.max():
             least = lengths[lengths > low].min()
             high = int(least * 1.3)
-            which = np.flatnonzero((lengths > low) & (lengths <= high) & (norms > 0))
+            left = np.flatnonzero((lengths > low) & (lengths <= high) & (norms > 0))
             low = high
-            if len(which):
-                size = int(np.ceil(high * 1.25)) + 1
-                self.classes.append((size, max(1, size // 5), weights[which].min() * COVERED, which, vectors[which].T, norms[which]))
+            size = int(np.ceil(high * 1.25)) + 1
+            strata = []
+            while len(left):  # items of about equal weight share a threshold
+                light = weights[left].min()
+                which, left = left[weights[left] <= 1.5 * light], left[weights[left] > 1.5 * light]
+                strata.append((light * COVERED, which, vectors[which].T, norms[which]))
+            if strata:
+                self.classes.append((size, max(1, size // 5), strata))
 
     def latent(self, terms: np.ndarray) -> np.ndarray:
         return (self.weight[terms][:, None] * self.basis[terms % len(self.basis)]).sum(axis=0)
@@ -219,29 +232,35 @@ class Searcher:
     def windows(self, tokens: np.ndarray, bounds: np.ndarray):
         """Candidates (first word, end, item) in a run of documents."""
         total = np.concatenate([[0.0], np.cumsum(self.weight[tokens])])
-        doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        place, limit = np.arange(len(tokens)) - bounds[doc], bounds[doc + 1]
-        for size, stride, least, which, vectors, norms in self.classes:
-            at = np.flatnonzero(place % stride == 0)
-            end = np.minimum(at + size, limit[at])
-            heavy = total[end] - total[at] >= least
-            at, end = at[heavy], end[heavy]
-            for k in range(0, len(at), 256):
-                a, b = at[k : k + 256], end[k : k + 256]
-                span = a[:, None] + np.arange(size)
-                t = np.where(span < b[:, None], tokens[np.minimum(span, len(tokens) - 1)], len(self.vocabulary))
-                t = np.sort(t, axis=1)
-                t[:, 1:][t[:, 1:] == t[:, :-1]] = len(self.vocabulary)  # a term counts once
-                hot = self.weight[t]
-                rows, cols = np.nonzero(hot)
-                x = np.zeros((len(a), self.basis.shape[1]), dtype=np.float32)
-                if len(rows):
-                    which_rows, sums = group_sums(hot[rows, cols].astype(np.float32)[:, None] * self.basis[t[rows, cols] % len(self.basis)], rows)
-                    x[which_rows] = sums
-                dot = x @ vectors
-                length = np.maximum(np.linalg.norm(x, axis=1), 1e-9)
-                for r, c in zip(*np.nonzero((dot >= COSINE * length[:, None] * norms) & (dot >= COVERED * norms**2)), strict=True):
-                    yield int(a[r]), int(b[r]), int(which[c]), float(dot[r, c] / (length[r] * norms[c]))
+        sizes = np.diff(bounds)
+        for size, stride, strata in self.classes:
+            each = -(-sizes // stride)
+            doc = np.repeat(np.arange(len(sizes)), each)
+            at = bounds[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)) * stride
+            end = np.minimum(at + size, bounds[doc + 1])
+            held = total[end] - total[at]
+            for least, which, vectors, norms in strata:
+                heavy = np.flatnonzero(held >= least)
+                for k in range(0, len(heavy), 1024):
+                    a, b = at[heavy[k : k + 1024]], end[heavy[k : k + 1024]]
+                    x = self.project(tokens, a, b, size)
+                    dot = x @ vectors
+                    length = np.maximum(np.linalg.norm(x, axis=1), 1e-9)
+                    for r, c in zip(*np.nonzero((dot >= COSINE * length[:, None] * norms) & (dot >= COVERED * norms**2)), strict=True):
+                        yield int(a[r]), int(b[r]), int(which[c]), float(dot[r, c] / (length[r] * norms[c]))
+
+    def project(self, tokens: np.ndarray, at: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+        """Latent vectors of windows; a term counts once in each."""
+        span = at[:, None] + np.arange(size)
+        t = np.where(span < end[:, None], tokens[np.minimum(span, len(tokens) - 1)], len(self.vocabulary))
+        rows, cols = np.nonzero(self.weight[t])
+        pair = np.unique(rows * np.int64(len(self.weight)) + t[rows, cols])
+        rows, terms = pair // len(self.weight), pair % len(self.weight)
+        x = np.zeros((len(at), self.basis.shape[1]), dtype=np.float32)
+        if len(rows):
+            which, sums = group_sums(self.weight[terms].astype(np.float32)[:, None] * self.basis[terms % len(self.basis)], rows)
+            x[which] = sums
+        return x
 
     def check(self, words: list, item: int) -> tuple | None:
         """(first, last, share of words, share of weight, share of the answer) if words holds the item."""
