@@ -16,12 +16,13 @@ columns aren't read.
 """
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._words import ALNUM, WordHasher, texts_of
 
-BITS, POSITIVES, UNLABELLED, PREFIX = 18, 6000, 18000, 4
+BITS, POSITIVES, UNLABELLED, PREFIX = 18, 4000, 12000, 4
 EPOCHS, RATE, DECAY, MIN_DOCS, MIN_Z = 200, 0.05, 1e-5, 3, 5.0
 
 
@@ -52,35 +53,41 @@ def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def featurizer(bits: int):
     def run(batches):
-        import pyarrow as pa
-
         hasher = hashers()
         for batch in batches:
             lists = []
             for features, ends in document_features(texts_of(batch), hasher, bits):
                 lists += [features[a:b].astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(lists, pa.binary())], ["toxic", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("mark"), pa.array(lists, pa.binary())], ["toxic", "mark", "features"])
 
     return run
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY) -> tuple[np.ndarray, float]:
-    """Weights of the hashed words, and the bias."""
-    size = 1 << bits
-    in_p, in_u = (np.bincount(np.concatenate(docs), minlength=size) for docs in (positive, unlabelled))
+def counts(values: np.ndarray, size: int, step: int = 1 << 20) -> np.ndarray:
+    """Occurrences of each feature, a slice at a time."""
+    total = np.zeros(size, dtype=np.int64)
+    for at in range(0, len(values), step):
+        total += np.bincount(values[at : at + step], minlength=size)
+    return total
+
+
+def train(positive: tuple, unlabelled: tuple, prior: float, bits: int = BITS, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY) -> tuple[np.ndarray, float]:
+    """Weights of the features, and the bias. Each side: the documents' features end to end, and their bounds."""
+    size, (n_p, n_u) = 1 << bits, (len(positive[1]) - 1, len(unlabelled[1]) - 1)
+    in_p, in_u = counts(positive[0], size), counts(unlabelled[0], size)
     # A feature counts as its share among toxic texts stands out from that in unlabelled ones, in standard errors.
-    share = (in_p + in_u) / (len(positive) + len(unlabelled))
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / len(positive) + 1 / len(unlabelled)))
-    z = np.abs(in_p / len(positive) - in_u / len(unlabelled)) / error
+    share = (in_p + in_u) / (n_p + n_u)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_p + 1 / n_u))
+    z = np.abs(in_p / n_p - in_u / n_u) / error
     scale = np.where((in_p + in_u >= MIN_DOCS) & (z >= MIN_Z), z, 0.0)
     scale = np.minimum(1.0, scale / max(scale.max(), 1e-9) * 2)
     usable = scale > 0
 
-    def pack(docs):
-        kept = [d[usable[d]] for d in docs]
-        return np.concatenate([*kept, np.zeros(0, np.int64)]).astype(np.int64), np.cumsum([0, *map(len, kept)])
+    def pack(values, ends):
+        kept = usable[values]
+        return values[kept].astype(np.int64), np.concatenate([[0], np.cumsum(kept)])[ends]
 
-    groups = [pack(positive), pack(unlabelled)]
+    groups = [pack(*positive), pack(*unlabelled)]
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -107,8 +114,6 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 
 def scorer(model, bits: int):
     def run(batches):
-        import pyarrow as pa
-
         hasher = hashers()
         weights, bias = model.value
         for batch in batches:
@@ -130,13 +135,22 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     total = rows.count()
     part = lambda col, most, of: F.pmod(F.xxhash64(col, F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(1, of)))
     toxic = labels.where((F.col("toxic") == 1) & part("doc_id", positives, ones)).select("doc_id")
-    picked = rows.join(toxic, "doc_id", "left_semi").withColumn("toxic", F.lit(1)).unionByName(rows.where(part("doc_id", unlabelled, total)).withColumn("toxic", F.lit(0)))
-    table = picked.select("toxic", "text").mapInArrow(featurizer(bits), "toxic int, features binary").toArrow()
-    toxic_flag, lists = table.column("toxic").to_pylist(), [np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in table.column("features").to_pylist()]
-    sides = [sorted((x for t, x in zip(toxic_flag, lists, strict=True) if t == side), key=lambda x: x.tobytes()) for side in (1, 0)]
-    if not all(sides):
+    picked = rows.join(F.broadcast(toxic), "doc_id", "left_semi").withColumn("toxic", F.lit(1))  # about ``positives`` ids
+    picked = picked.unionByName(rows.where(part("doc_id", unlabelled, total)).withColumn("toxic", F.lit(0)))
+    table = picked.select("toxic", F.xxhash64("doc_id", "text").alias("mark"), "text").mapInArrow(featurizer(bits), "toxic int, mark bigint, features binary").toArrow().sort_by([("mark", "ascending"), ("toxic", "ascending")])
+    flag = table.column("toxic").to_numpy()
+    if len(set(flag.tolist())) < 2:
         return np.zeros(1 << bits, dtype=np.float32), float(np.log(prior / (1 - prior)))
-    return train(*sides, prior, bits)
+    return train(*(flat(table.column("features").filter(pa.array(flag == side))) for side in (1, 0)), prior, bits)
+
+
+def flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of int32 in a binary column end to end, without a copy for each, and their bounds."""
+    lists = column.combine_chunks().cast(pa.large_binary())
+    ends = np.frombuffer(lists.buffers()[1], dtype=np.int64, count=len(lists) + 1, offset=8 * lists.offset)
+    data = lists.buffers()[2]
+    values = np.frombuffer(data, dtype=np.int32) if data is not None and data.size else np.zeros(0, np.int32)
+    return values[ends[0] // 4 : ends[-1] // 4], (ends - ends[0]) // 4
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, **options) -> DataFrame:
@@ -149,8 +163,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def clean_filter(model, bits: int, text_col: str):
     def run(batches):
-        import pyarrow as pa
-
         hasher = hashers()
         weights, bias = model.value
         for batch in batches:
