@@ -26,7 +26,8 @@ def pointwise_versions(items: DataFrame, step: Callable[[DataFrame], DataFrame],
     are then withdrawn (a null value) if they had a value before."""
     known = [F.col(c) for c in ("time", "available_date", "version_available_date") if c in items.columns]
     stamped = items.withColumn("version_available_date", F.greatest(*known) if len(known) > 1 else known[0])
-    last = keep_last(stamped, ["time", "asset_id", "version_available_date"], ["version_available_date", "ingested_at", "_commit_seq"])
+    # one shuffle by (time, asset_id) serves both windows: the first is over a longer key
+    last = keep_last(stamped.repartition("time", "asset_id"), ["time", "asset_id", "version_available_date"], ["version_available_date", "ingested_at", "_commit_seq"])
     made = step(last)
     if drops:
         key = ["time", "asset_id", "version_available_date"]
