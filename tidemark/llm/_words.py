@@ -8,7 +8,7 @@ import hashlib
 
 import numpy as np
 
-SEGMENT = 1 << 20
+SEGMENT, SLICE = 1 << 18, 1024
 MULTIPLIER = 0x9E3779B97F4A7C13
 
 
@@ -106,6 +106,13 @@ class WordHasher:
             yield first, hashes, np.searchsorted(starts, begins)
 
 
+def slices(batches):
+    """The batches in slices of bounded rows, so that a worker never holds a whole batch as Python values."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def texts_of(batch, column: str = "text") -> list:
     """The column's values as UTF-8 bytes."""
     import pyarrow as pa

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import ALNUM, Vocabulary, WordHasher, texts_of
+from ._words import ALNUM, Vocabulary, WordHasher, slices, texts_of
 
 PASSAGE, STOP, STOP_LEAST, LEAST, RANK, SKETCH, FEATURES, FAN_IN = 32, 0.002, 50, 5, 64, 80, 1 << 14, 8
 COSINE, COVERED, LCS, LCS_WEIGHT, ANSWER = 0.5, 0.5, 0.6, 0.6, 0.5
@@ -61,7 +61,7 @@ def frequencies(items):
 
         vocabulary, hasher = Items(items.value).vocabulary, WordHasher(ALNUM)
         total = np.zeros(len(vocabulary) + 1)
-        for batch in batches:
+        for batch in slices(batches):
             for _, hashes, bounds in hasher.documents(texts_of(batch)):
                 _, terms, n = passages(vocabulary.tokens(hashes), bounds, len(vocabulary))
                 total[:-1] += np.bincount(terms, minlength=len(vocabulary))
@@ -87,7 +87,7 @@ def gram_product(items, model):
         vocabulary, hasher = Items(items.value).vocabulary, WordHasher(ALNUM)
         weight, basis = model.value
         total = np.zeros(basis.shape, dtype=np.float64)
-        for batch in batches:
+        for batch in slices(batches):
             for _, hashes, bounds in hasher.documents(texts_of(batch)):
                 passage, term, _ = passages(vocabulary.tokens(hashes), bounds, len(vocabulary))
                 use = weight[term] > 0
@@ -308,7 +308,7 @@ def pair_finder(items, model):
         searcher = Searcher(Items(items.value), *model.value)
         kinds = [pa.int64()] * 3 + [pa.float64()] * 4
         names = [c.split()[0] for c in SCHEMA.split(", ")]
-        for batch in batches:
+        for batch in slices(batches):
             hits = searcher.search(texts_of(batch))
             rows = [i for i, h in enumerate(hits) for _ in h]
             flat = [h for own in hits for h in own]
@@ -322,7 +322,7 @@ def clean_filter(items, model, text_col: str):
         import pyarrow as pa
 
         searcher = Searcher(Items(items.value), *model.value)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([not h for h in searcher.search(texts_of(batch, text_col))], pa.bool_()))
 
     return run

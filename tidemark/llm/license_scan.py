@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import ALNUM, Vocabulary, WordHasher, texts_of
+from ._words import ALNUM, Vocabulary, WordHasher, slices, texts_of
 
 MIN_MATCH, COVER, GAP = 4, 0.75, 8
 
@@ -197,7 +197,7 @@ def scanner(templates=None, base=None):
 
         s = Scanner(templates, base)
         span = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("covered", pa.float64())]))
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for _, hashes, bounds in s.hasher.documents(texts_of(batch)):
                 tokens = s.vocabulary.tokens(hashes)

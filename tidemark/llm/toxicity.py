@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import ALNUM, WordHasher, texts_of
+from ._words import ALNUM, WordHasher, slices, texts_of
 
 BITS, POSITIVES, UNLABELLED, PREFIX = 18, 4000, 12000, 4
 EPOCHS, RATE, DECAY, MIN_DOCS, MIN_Z = 300, 0.05, 2e-4, 3, 3.0
@@ -57,7 +57,7 @@ def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def featurizer(bits: int):
     def run(batches):
         hasher = hashers()
-        for batch in batches:
+        for batch in slices(batches):
             lists = []
             for features, ends in document_features(texts_of(batch), hasher, bits):
                 lists += [features[a:b].astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -119,7 +119,7 @@ def scorer(model, bits: int):
     def run(batches):
         hasher = hashers()
         weights, bias = model.value
-        for batch in batches:
+        for batch in slices(batches):
             out = [sums(weights[f].astype(np.float64), e) + bias for f, e in document_features(texts_of(batch), hasher, bits)]
             z = np.clip(np.concatenate([*out, np.zeros(0)]), -40, 40)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-z)))], ["doc_id", "score"])
@@ -168,7 +168,7 @@ def clean_filter(model, bits: int, text_col: str):
     def run(batches):
         hasher = hashers()
         weights, bias = model.value
-        for batch in batches:
+        for batch in slices(batches):
             out = [sums(weights[f].astype(np.float64), e) + bias for f, e in document_features(texts_of(batch, text_col), hasher, bits)]
             yield batch.filter(pa.array(np.concatenate([*out, np.zeros(0)]) < 0, pa.bool_()))
 
