@@ -183,6 +183,22 @@ def test_mix(spark, odd):
     assert out.columns == odd.columns and out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 6
 
 
+def test_mixed_documents_meet_targets(spark):
+    """Also where one small source makes blocks of one word, so that every document's share is its source's."""
+    rng = random.Random(12)
+    rows = [(k, sentence(rng, rng.randrange(20, 400)), "en", f"s{k % 4}", 1) for k in range(1200)] + [(2000 + k, "same size " * 20, "en", "s1", 1) for k in range(300)] + [(5000, sentence(rng, 50), "en", "tiny", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    mixed = mixing.mixed_documents(df)
+    times = Counter(i for i, in rows_of(mixed, "doc_id"))
+    made = mixing.mix(df).collect()
+    assert all(abs(times[r["doc_id"]] - r["taken"] / r["size"]) < 1 for r in made)
+    for s in {r["source"] for r in made}:
+        own = [r for r in made if r["source"] == s]
+        written = sum(times[r["doc_id"]] * r["size"] for r in own)
+        assert abs(written - own[0]["target"]) <= max(r["size"] for r in own) / 2 + 60, s
+    assert Counter(i for i, in rows_of(mixing.mixed_documents(df.repartition(3)), "doc_id")) == times
+
+
 # --- op9
 def brute_components(rows, size, percent):
     sets = {}

@@ -11,8 +11,14 @@ source compete: no row per block is ever made. A source with q seats and n block
 times, and q mod n blocks once more, those whose index under a seeded affine permutation (prime multiplier) is
 low. A document takes its words' share of its blocks.
 
+As documents (``mixed_documents``) a share taken / size is a whole number of copies or the next. Shares are summed in
+the order of (size class, bucket, size), largest first, and a document gets the whole numbers that its sum passes:
+neighbours have about equal sizes, so what one rounds up the next rounds down, in words too, and a source keeps its
+words but for about half its largest document.
+
 Distribution: a source is dealt over ``buckets`` hash buckets; running positions are sums over (source, bucket)
 totals plus a running sum within one bucket, so a source with a third of all rows is spread over as many tasks.
+Sums of shares are carried over (source, class), then (source, class, bucket) totals in the same way.
 
 Defined cases: a null text has 0 words; null and repeated ids are ordinary rows; equal rows are tied and
 interchangeable; sources without words have target 0; an empty table gives an empty result; other columns
@@ -25,6 +31,8 @@ from pyspark.sql import functions as F
 from ._runtime import materialize
 
 MAX_REPEAT, BUCKETS, SEED, FINE = 3, 1024, 20, 1000
+#: Shares are whole numbers of 1 / UNIT, so that their sums are exact; size classes are 1 / CLASSES of an octave.
+UNIT, CLASSES = 1 << 24, 16
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Primes above 2**31, which so divide no block count: multipliers of the permutation, one is picked by the seed.
 PRIMES = (2147483659, 2147483693, 2147483713, 2147483743, 2147483777)
@@ -107,12 +115,35 @@ def mix(docs: DataFrame, seed: int = SEED, buckets: int = BUCKETS, max_repeat: i
     return out.select(*(F.col(f"__{c}").alias("doc_id" if c == "id" else c) for c in ("id", "source", "size", "source_size", "target", "taken")))
 
 
+def _shared(taken: DataFrame) -> DataFrame:
+    """Adds __share (of UNIT) and __class, which falls as sizes rise."""
+    share = F.floor(F.try_divide(F.col("__taken") * F.lit(float(UNIT)), F.col("__size")) + 0.5)
+    return taken.withColumns({"__share": F.coalesce(share, F.lit(0)).cast("bigint"), "__class": F.coalesce(-F.floor(F.log2("__size") * CLASSES), F.lit(1)).cast("int")})
+
+
+def _share_starts(shared: DataFrame) -> DataFrame:
+    """(__in, __in_class, __in_bucket, __share_start): the source's shares before each (class, bucket)."""
+    groups = shared.groupBy("__source", "__class", "__bucket").agg(F.sum("__share").alias("shares"))
+    before = lambda keys, by: F.coalesce(F.sum("shares").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = groups.groupBy(F.col("__source").alias("__of_source"), F.col("__class").alias("__of_class")).agg(F.sum("shares").alias("shares"))
+    classes = classes.select("__of_source", "__of_class", before(["__of_source"], "__of_class").alias("class_start"))
+    starts = groups.withColumn("within", before(["__source", "__class"], "__bucket")).join(classes, F.col("__source").eqNullSafe(F.col("__of_source")) & (F.col("__class") == F.col("__of_class")))
+    return starts.select(F.col("__source").alias("__in"), F.col("__class").alias("__in_class"), F.col("__bucket").alias("__in_bucket"), (F.col("class_start") + F.col("within")).alias("__share_start"))
+
+
 def mixed_documents(docs: DataFrame, seed: int = SEED, buckets: int = BUCKETS, max_repeat: int = MAX_REPEAT, fine: int = FINE, block: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix as documents, all columns: each as often as its words are taken, rounded (so from 0 to max_repeat
-    times). Texts travel once, with the window's shuffle."""
+    """The mix as documents, all columns: each as often as its words are taken, rounded up or down (so from 0 to
+    max_repeat times) such that a source's words add up. Texts travel with the windows' shuffle."""
     rows = _sized(docs, seed, buckets, id_col, text_col, source_col)
-    times = F.floor(F.try_divide("__taken", "__size") + 0.5).cast("int")
-    out = _taken(rows, rows.select("__source", "__bucket", "__size"), seed, max_repeat, fine, block).withColumn("__times", F.coalesce(times, F.lit(0)))
+    narrow = materialize(rows.select("__id", "__source", "__size", "__mark", "__bucket"), "mix-narrow")
+    starts = materialize(_share_starts(_shared(_taken(narrow, narrow, seed, max_repeat, fine, block))), "mix-shares")
+    shared = _shared(_taken(rows, narrow, seed, max_repeat, fine, block))
+    order = Window.partitionBy("__source", "__bucket", "__class").orderBy(F.col("__size").desc(), "__id", "__mark", "__taken")
+    shared = shared.withColumn("__shares", F.sum("__share").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = shared.join(starts, F.col("__source").eqNullSafe(F.col("__in")) & (F.col("__class") == F.col("__in_class")) & (F.col("__bucket") == F.col("__in_bucket")))
+    upto = F.col("__share_start") + F.col("__shares")
+    passed = lambda sums: F.floor((sums + UNIT // 2) / F.lit(UNIT))
+    out = out.withColumn("__times", (passed(upto) - passed(upto - F.col("__share"))).cast("int"))
     return out.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
