@@ -421,6 +421,31 @@ def test_decontamination(spark, odd):
     assert decontaminate.find_leaks(odd.limit(0), b).count() == 0 and decontaminate.find_leaks(df, b.limit(0)).count() == 0
 
 
+def test_decontamination_of_cut_items(spark):
+    rng = random.Random(13)
+    bench = [(k, sentence(rng, rng.randrange(25, 70), 3000)) for k in range(30)]
+    rows, kinds = [], {}
+    for k in range(300):
+        words = sentence(rng, rng.randrange(100, 300), 3000).split()
+        if k % 3 == 0:
+            i, t = bench[rng.randrange(30)]
+            own = t.split()
+            kind = ("first", "last", "new end")[k // 3 % 3]
+            n = round(len(own) * 0.85)
+            own = own[:n] if kind == "first" else own[-n:] if kind == "last" else own[: round(len(own) * 0.8)] + sentence(rng, len(own) // 5, 3000).split()
+            at = rng.randrange(len(words))
+            words[at:at] = own
+            kinds[k, i] = kind
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = set(rows_of(decontaminate.find_leaks(df, spark.createDataFrame(bench, "item_id bigint, text string")), "doc_id", "item_id"))
+    for kind in ("first", "last", "new end"):
+        planted = {p for p, x in kinds.items() if x == kind}
+        assert len(planted & got) >= 0.9 * len(planted), (kind, len(planted & got), len(planted))
+    assert got <= set(kinds)
+    assert decontaminate.longest_run([(0, 0), (1, 2), (2, 3), (3, 4), (9, 9)]) == 3
+
+
 def test_lcs_and_latent_vectors():
     rng = random.Random(10)
     for _ in range(200):

@@ -10,8 +10,10 @@
 3. Search: windows over each whole document, of lengths and strides that hold every item in some window, are
    projected by the basis. A window is a candidate for an item when the cosine and the covered share of the item's
    latent vector pass. Windows whose terms weigh too little to cover an item aren't projected.
-4. Check: longest common subsequence of the candidate region and the item, in words and in weight, and the answer
-   (the item's last words). This accepts paraphrases that change, drop or add some words.
+4. Check: longest common subsequence of the candidate region and the item, in words and in weight. This accepts
+   paraphrases that change, drop or add some words, and passages cut or re-worded at either end. A weak likeness, of
+   less than ``CLOSE`` of the words and without a run of ``LCS`` of them (``RUN`` at least), must hold the answer too,
+   taken to be the item's last words.
 
 The benchmark is taken in blocks of bounded text, each a search of its own, so what travels to the executors is
 bounded whatever the benchmark's size.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from ._words import ALNUM, Vocabulary, WordHasher, slices, texts_of
 
 PASSAGE, STOP, STOP_LEAST, LEAST, RANK, SKETCH, FEATURES, FAN_IN = 32, 0.002, 50, 5, 64, 80, 1 << 14, 8
-COSINE, COVERED, LCS, LCS_WEIGHT, ANSWER = 0.5, 0.5, 0.6, 0.6, 0.5
+COSINE, COVERED, LCS, LCS_WEIGHT, ANSWER, CLOSE, RUN = 0.5, 0.5, 0.6, 0.6, 0.5, 0.8, 10
 BLOCK_BYTES = 4 << 20
 
 
@@ -200,6 +202,15 @@ def lcs_length(x: list, y: list) -> int:
     return len(y) - row.bit_count()
 
 
+def longest_run(pairs: list[tuple[int, int]]) -> int:
+    """Length of the longest run of pairs that are neighbours in both."""
+    best = now = 0
+    for k, (i, j) in enumerate(pairs):
+        now = now + 1 if k and pairs[k - 1] == (i - 1, j - 1) else 1
+        best = max(best, now)
+    return best
+
+
 class Searcher:
     def __init__(self, items: Items, weight: np.ndarray, basis: np.ndarray):
         self.items, self.basis = items, basis
@@ -270,7 +281,8 @@ class Searcher:
         pairs = lcs_pairs(words, own)
         weight = sum(self.weight[own[j]] for _, j in pairs) / max(self.weights[item], 1e-9)
         answer = sum(j >= len(own) - self.answer[item] for _, j in pairs) / self.answer[item]
-        return (pairs[0][0], pairs[-1][0], len(pairs) / len(own), weight, answer) if weight >= LCS_WEIGHT and answer >= ANSWER else None
+        sure = answer >= ANSWER or len(pairs) >= CLOSE * len(own) or longest_run(pairs) >= max(RUN, LCS * len(own))
+        return (pairs[0][0], pairs[-1][0], len(pairs) / len(own), weight, answer) if weight >= LCS_WEIGHT and sure else None
 
     def search(self, texts: list) -> list[list[tuple]]:
         """(item id, first word, last word, cosine, words, weight, answer) of each text's hits, one per item."""
