@@ -302,6 +302,17 @@ def test_license_spans_and_automaton():
             assert {(t, e) for t, e in automaton.ends[state] if texts[t][e - n + 1 : e + 1] == stream[i + 1 - n : i + 1]} == {(t, e) for t, own in enumerate(texts) for e in range(n - 1, len(own)) if own[e - n + 1 : e + 1] == stream[i + 1 - n : i + 1]}
 
 
+def test_license_fragment_before_or_within_notice():
+    scanner = license_scan.Scanner()
+    notice = license_scan.TEMPLATES[7][1]
+    words = notice.split()
+    spans = lambda text: [s[1:] for s in scanner.scan(scanner.vocabulary.tokens(scanner.hasher.words(text.encode())[2]))["spans"] if s[0] == "gpl"]
+    assert (10, 38, 1.0) in spans("released under the terms of the gnu general public license. " + notice)
+    # a fragment of the notice's beginning between its halves
+    assert (0, len(words) + 3, 1.0) in spans(" ".join([*words[:15], *words[:4], *words[15:]]))
+    assert spans(notice + " " + notice) == [(0, 28, 1.0), (29, 57, 1.0)]
+
+
 # --- op5, op7
 def test_token_files(spark, odd, tmp_path):
     from tokenizers import Tokenizer

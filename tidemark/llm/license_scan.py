@@ -10,11 +10,17 @@ A match of three words or more is a run of word pairs that stand together in som
 first, for all words at once, and only such runs are streamed: shorter matches can neither complete a base
 phrase nor be chained.
 
+A match extends the chain of its template that gives the most covered words, or starts one where that gives as many;
+a chain stays open for later matches, so a stray fragment neither ends a chain nor spoils the notice after it. Of
+chains of a template that overlap, the best is kept.
+
 Defined cases: a null text has no words (null positions, empty labels, score 0); a null or repeated id is passed
 on; rows are independent, so ties and repeated rows are equal; an empty table gives an empty result; other
 columns aren't read.
 """
 
+from bisect import bisect_left
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,30 +167,28 @@ class Scanner:
     def chain(self, matches: list) -> list[tuple[str, int, int, float]]:
         """(label, first word, last word, covered share) of the chains, best first for each template."""
         done, open_ = [], {}
-
-        def close(t, c):
-            done.append((t, c["first"], c["end"] - 1, c["covered"] / self.sizes[t]))
-
         for start, n, state in matches:
             for t, last in self.automaton.ends[state]:
                 if t >= self.first_base:
                     continue
-                at, c = last - n + 1, open_.get(t)
-                cut = 0
-                if c is not None:
+                at, best, base = last - n + 1, n, None
+                # only chains that end at most GAP before this match are left: a bounded number
+                near = [c for c in open_.get(t, ()) if start - c["end"] <= GAP]
+                for c in near:
                     cut = max(0, c["end"] - start, c["at"] - at)
-                    if start - c["end"] > GAP or at - c["at"] > GAP or cut >= n:
-                        if cut < n or start >= c["end"]:
-                            close(t, open_.pop(t))
-                            c, cut = None, 0
-                        else:
-                            continue
-                if c is None:
-                    open_[t] = {"first": start, "end": start + n, "at": at + n, "covered": n}
-                else:
-                    c["end"], c["at"], c["covered"] = start + n, at + n, c["covered"] + n - cut
-        for t, c in open_.items():
-            close(t, c)
+                    if at - c["at"] <= GAP and cut < n and c["covered"] + n - cut > best:
+                        best, base = c["covered"] + n - cut, c
+                chain = {"first": base["first"] if base else start, "end": start + n, "at": at + n, "covered": best}
+                open_[t] = [*near, chain]
+                done.append((t, chain["first"], chain["end"] - 1, best / self.sizes[t]))
+        done.sort(key=lambda x: (x[0], -x[3], x[1]))
+        kept: dict[int, list] = {}
+        for x in done:
+            own = kept.setdefault(x[0], [])
+            k = bisect_left(own, x[1:])
+            if (k == 0 or own[k - 1][1] < x[1]) and (k == len(own) or own[k][0] > x[2]):
+                own.insert(k, x[1:])
+        done = [(t, *x) for t, own in kept.items() for x in own]
         return sorted(((self.labels[t], a, b, s) for t, a, b, s in done), key=lambda x: (-x[3], x[1], x[0]))
 
 
