@@ -381,6 +381,23 @@ def test_piece_encoder_is_the_tokenizer():
         assert np.frombuffer(own.text(t), dtype="<i4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_piece_encoder_over_all_of_unicode():
+    """Every code point alone, within words and after a combining base; then random texts over all of them."""
+    from tokenizers import Tokenizer
+
+    whole, own = Tokenizer.from_file(token_files.tokenizer_path()), token_files.PieceEncoder(token_files.tokenizer_path())
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    same = lambda texts: [t for t, e in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True) if np.frombuffer(own.text(t), dtype="<i4").tolist() != e.ids]
+    for at in range(0, len(every), 64_000):
+        part = every[at : at + 64_000]
+        assert not same([" ".join(f"{c}a{c}b" for c in part[k : k + 64]) for k in range(0, len(part), 64)])
+    assert not same([f"{c} {c}{c}. x{c}" for c in every[:0x3000]])
+    named = [c for c in every if c.isalnum() or not c.isprintable() and c.isspace()][:20_000] + [chr(c) for c in range(0x300, 0x370)] * 20
+    rng = random.Random(14)
+    assert not same(["".join(rng.choice(named if rng.random() < 0.6 else "aB.,'s 1-é") for _ in range(rng.randrange(1, 30))) for _ in range(20_000)])
+    assert not same(["\u09ac\u09dc", "\u0958\u0959 \u09df", "\ufb1f\ufb2a", "\u0b5c", "\u0f43", "\u0558", "\u1c89", "\ua7cb", "\U00010940"])
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(spark, odd, rule):
     encoding, width = token_counts.load(*token_counts.rank_file())

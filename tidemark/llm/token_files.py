@@ -7,15 +7,20 @@ delta encoded. Row groups and pages are bounded (``ROW_GROUP``, ``PAGE``), and t
 reader fetches the few pages of a document by doc_id, or the metadata columns without any tokens. A document's
 place in the whole stream is its part's base (a running sum of the parts' totals) plus its offset.
 
-Encoding. Texts whose pre-tokens never span white space are cut there, and each distinct piece is encoded once per
-worker (a bounded cache); the others go to the tokenizer whole. Both give the tokenizer's own ids.
+Encoding. No pre-token of this kind of tokenizer spans white space, so texts are cut there and each distinct piece is
+encoded once per worker (a bounded cache). A piece of ASCII, or of those letters and signs below U+0500 that the encoder
+finds, when it starts, to be normalised and cut as the library does it, is cut here and its words go to the library's
+model; any other piece goes to the library's ``encode``; a text that holds the string of a special token, or a separator
+that only Python takes for white space, goes there whole. All give the library's own ids.
 
 Defined cases: a null text is empty and has the end id alone; null ids come first and repeated ids stand together,
 ordered by their text; an empty table gives an empty result; other columns aren't read.
 """
 
+import re
 import uuid
 from array import array
+from functools import lru_cache
 from unicodedata import normalize
 
 import numpy as np
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._runtime import _written, shared_dir, shuffle_width
-from ._words import texts_of
+from ._words import slices
 
 END_ID = 1
 ROW_GROUP, PAGE, CACHE = 16 << 20, 256 << 10, 400_000
@@ -55,6 +60,7 @@ class PieceEncoder:
         rest = iter(range(256, 512))
         self.letter = [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
         self.special = [t["content"] for t in state["added_tokens"]]
+        self.whole_only = re.compile("|".join(map(re.escape, ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", *self.special])))
         self.words: dict[str, bytes] = {}
         encoder = self
 
@@ -68,6 +74,24 @@ class PieceEncoder:
                 return found
 
         self.pieces = Pieces()
+        self.foreign = re.compile("[^\x00-\x7f" + "".join(map(re.escape, self._proven())) + "]")
+        self.pieces.clear()
+
+    def _proven(self) -> list[str]:
+        """Characters below U+0500 that this encoder treats as the library does, alone and beside others. Combining
+        marks, final sigma and dotted I depend on what stands beside them and are left out."""
+        good = []
+        for code in (*range(0x80, 0x300), *range(0x370, 0x500)):
+            c = chr(code)
+            if c in "\x85\u03a3\u0130" or not c.isprintable() or normalize("NFD", c)[0] in ("\u0308",):
+                continue
+            beside = (c, f"a{c}", f"{c}a", f"a{c}b", f"1{c}2", f"{c}.", f"{c},", f"-{c}-", f"{c}{c}", f"'{c}s's")
+            if all(self._own(x) == self._library(x) for x in beside):
+                good.append(c)
+        return good
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
 
     def word(self, word: str) -> bytes:
         found = self.words.get(word)
@@ -80,33 +104,43 @@ class PieceEncoder:
                 self.words[word] = found
         return found
 
-    def piece(self, piece: str) -> bytes:
+    def _own(self, piece: str) -> bytes:
+        piece = (piece if piece.isascii() else normalize("NFC", piece)).lower()
         last = piece[-1]
         body, stop = (piece[:-1], last) if last == "." or last == "," else (piece, "")
-        if body.isalpha() and len(body) > 1:  # a word and perhaps a stop: what the pattern would find
-            return self.word((body if body.isascii() else normalize("NFC", body)).lower()) + (self.word(stop) if stop else b"")
-        return b"".join(map(self.word, self.find(normalize("NFC", piece).lower())))
+        if len(body) > 1 and body.isalpha():  # a word and perhaps a stop: what the pattern would find
+            return self.word(body) + (self.word(stop) if stop else b"")
+        return b"".join(map(self.word, self.find(piece)))
+
+    def piece(self, piece: str) -> bytes:
+        return self._own(piece) if piece.isascii() or not self.foreign.search(piece) else self._library(piece)
 
     def text(self, text: str) -> bytes:
-        # control separators count as white space for str.split alone; capital sigma and dotted I change with context
-        if any(x in text for x in ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "Σ", "İ", *self.special)):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
+        if self.whole_only.search(text):
+            return self._library(text)
         return b"".join(map(self.pieces.__getitem__, text.split()))
 
 
+@lru_cache(maxsize=2)
+def shared_encoder(path: str) -> PieceEncoder:
+    """One for all tasks of a worker."""
+    return PieceEncoder(path)
+
+
 def encoder(path: str, end_id: int):
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, part, offset = PieceEncoder(path).text, TaskContext.get().partitionId(), 0
+        encode, part, offset = shared_encoder(path).text, TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<i4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             rows = [encode(t or "") + end for t in batch.column("text").to_pylist()]
             sizes = np.array([len(r) // 4 for r in rows], dtype=np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)])
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(rows), part, np.int32)), pa.array(ends[:-1] + offset), pa.array(sizes.astype(np.int32)), ids], ["doc_id", "part", "offset", "n_tokens", "ids"])
+            columns = [batch.column("doc_id"), pa.array(np.full(len(rows), part, np.int32)), pa.array(ends[:-1] + offset), pa.array(sizes.astype(np.int32)), ids]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "offset", "n_tokens", "ids"])
             offset += int(ends[-1])
 
     return run
