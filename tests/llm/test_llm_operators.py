@@ -278,8 +278,8 @@ def edited(rng, words, share):
     return " ".join(f"e{rng.randrange(10**6)}" if rng.random() < share else w for w in words)
 
 
-@pytest.mark.parametrize("size", [2, 5])
-def test_near_dedup(spark, size):
+@pytest.mark.parametrize(("size", "large"), [(2, 4096), (5, 4096), (2, 8)])
+def test_near_dedup(spark, size, large):
     rng = random.Random(size)
     rows = [(k, sentence(rng, 60)) for k in range(60)]
     for base in range(12):  # groups whose members are near the threshold
@@ -287,7 +287,7 @@ def test_near_dedup(spark, size):
         rows += [(1000 * (base + 1) + k, edited(rng, words, rng.choice([0, 0.01, 0.02, 0.04, 0.05]))) for k in range(12)]
     rows += [(50_000 + k, rows[5][1].upper()) for k in range(5)] + [(60_000, None), (60_001, ""), (60_002, "one"), (60_003, "ONE"), (60_004, " ")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    got = set(rows_of(near_dedup.near_components(df, size=size, block=4), "doc_id", "n_shingles", "component_id", "kept"))
+    got = set(rows_of(near_dedup.near_components(df, size=size, block=4, large=large), "doc_id", "n_shingles", "component_id", "kept"))
     assert got == brute_components(rows, size, 80)
 
 
@@ -301,6 +301,24 @@ def test_near_dedup_odd_rows(spark, odd):
     assert left.columns == odd.columns and sorted(r[0] or 0 for r in left.select("doc_id").collect()) == sorted({i or 0 for i, in odd.select("doc_id").collect()} - {2, 3, 8})
 
 
+def test_near_dedup_of_clashing_ids(spark):
+    """Rows of one id with unlike texts link by their own texts; equal rows are one."""
+    rng = random.Random(21)
+    x, y, z = (sentence(rng, 80) for _ in range(3))
+    rows = [(1, x), (1, y), (2, y), (3, x + " tail"), (4, z), (4, z), (1, y), (5, None), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter(rows_of(near_dedup.near_components(df, size=2), "doc_id", "component_id", "kept"))
+    assert got == Counter({(1, 1, True): 3, (2, 1, False): 1, (3, 1, False): 1, (4, 4, True): 2, (5, 5, True): 2})
+    left = Counter(rows_of(near_dedup.one_of_each(df), "doc_id", "text"))
+    assert left == Counter({(1, x): 1, (1, y): 1, (4, z): 1, (5, None): 2})
+
+
+def test_one_text_repeated_under_one_id(spark):
+    df = spark.range(2200).select(F.lit(7).cast("bigint").alias("doc_id"), F.concat(F.lit("a b c d e f g "), F.when(F.col("id") < 2000, "same").otherwise(F.col("id").cast("string"))).alias("text"))
+    assert near_dedup.near_components(df, size=2).select("component_id", "kept").distinct().collect() == [(7, True)]
+    assert near_dedup.one_of_each(df).where("text like '%same'").count() <= 1
+
+
 def test_bayes_bounds():
     steps = near_dedup.least_matches(0.8, 192, 32, 1e-4)
     assert [n for n, _ in steps] == [32, 64, 96, 128, 160, 192]
