@@ -215,8 +215,49 @@ def test_targets_and_quotas(spark):
             best = max((s for s in order if seats[s] < 3 * blocks[s]), key=lambda s: want[s] / (2 * seats[s] + 1))
             seats[best] += 1
         assert all(abs(got[s]["seats"] - seats[s]) <= 1 for s in sizes) and sum(g["seats"] for g in got.values()) == sum(seats.values())
-        parts = mixing.shard_quotas(mixing.seat_quotas(mixing.source_targets(df), block=37), 5).groupBy("source").agg(F.sum("seats").alias("n"), (F.max("seats") - F.min("seats")).alias("spread")).collect()
-        assert all(p["n"] == got[p["source"]]["seats"] and p["spread"] <= 1 for p in parts)
+        parts = mixing.shard_quotas(mixing.seat_quotas(mixing.source_targets(df), block=37), 5).collect()
+        for s in sizes:
+            own = sorted((p for p in parts if p["source"] == s), key=lambda p: p["shard"])
+            assert sum(p["quota"] for p in own) == got[s]["seats"] and sum(p["own_blocks"] for p in own) == blocks[s]
+            assert all(0 <= p["extra"] <= p["own_blocks"] and p["quota"] <= 3 * p["own_blocks"] for p in own)
+            share = [p["quota"] - got[s]["seats"] * p["own_blocks"] / max(1, blocks[s]) for p in own]
+            assert all(abs(x) < 1 for x in share), (s, share)
+
+
+def brute_taken(sized, quotas, block, shards):
+    """Words taken of each document, by a list of all of a source's words: sized is [(words)] in the source's order."""
+    owner = [k for k, n in enumerate(sized) for _ in range(n)]
+    taken = Counter()
+    for q in quotas:
+        chosen = [i for i in range(q["own_blocks"]) if (i + 1) * q["extra"] + q["phase"] >= ((i * q["extra"] + q["phase"]) // max(1, q["own_blocks"]) + 1) * q["own_blocks"]]
+        assert len(chosen) == q["extra"]
+        for i in range(q["own_blocks"]):
+            times = q["full"] + (i in chosen)
+            for w in range((q["first"] + i) * block, min(len(owner), (q["first"] + i + 1) * block)):
+                taken[owner[w]] += times
+    return [taken[k] for k in range(len(sized))]
+
+
+def test_taken_words_block_by_block(spark):
+    """taken of each document against a walk over all words of all blocks."""
+    rng = random.Random(31)
+    rows = [(k, sentence(rng, rng.choice([0, 1, 3, 40, 700])), "en", rng.choice(["a", "b", None, "é"]), 1) for k in range(300)] + [(900, "w " * 9000, "en", "a", 1), (901, "x", "en", "tiny", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    for block, shards in ((None, 24), (7, 3), (50, 24)):
+        made = mixing.mix(df, block=block, shards=shards).collect()
+        narrow = mixing._sized(df, mixing.SEED, "doc_id", "text", "source")
+        narrow = narrow.withColumn("__bucket", mixing._bucket(mixing._bucket_count(narrow))).collect()
+        sizes = Counter()
+        for r in narrow:
+            sizes[r["__source"]] += r["__size"]
+        quotas = mixing.seat_quotas(mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")), block=block)
+        width = quotas.first()["block"]
+        parts = mixing.shard_quotas(quotas, shards).collect()
+        taken = {r["doc_id"]: r["taken"] for r in made}
+        for s in sizes:
+            own = sorted((r for r in narrow if r["__source"] == s), key=lambda r: (r["__bucket"], r["__id"], r["__mark"], r["__size"]))
+            mine = sorted((p for p in parts if p["source"] == s), key=lambda p: p["shard"])
+            assert brute_taken([r["__size"] for r in own], mine, width, shards) == [taken[r["__id"]] for r in own], (s, block)
 
 
 def test_mix(spark, odd):

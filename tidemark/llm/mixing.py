@@ -7,17 +7,20 @@ one x at which targets sum to T, found in a running sum over sources sorted by S
 Words of a source, its documents in seeded hash order, are cut into blocks of ``block`` words. The
 T / block seats are dealt to sources by the highest quotients target / (2k + 1); a source holds at most
 max_repeat seats per block. Candidates for the last seats lie near target / block, so only about six rows a
-source compete: no row per block is ever made. A source with q seats and n blocks takes each block q div n
-times, and q mod n blocks once more, those whose index under a seeded affine permutation (prime multiplier) is
-low. A document takes its words' share of its blocks.
+source compete: no row per block is ever made. Shard k of ``shards`` owns an even run of a source's blocks and gets an
+integer quota of its seats in proportion (a running sum, rounded): each of the shard's blocks is taken
+quota div blocks times, and quota mod blocks of them once more. Those are spread evenly from a seeded start, the order of
+documents being random already, so that how many of a run of blocks are chosen has a closed form, and a document that
+spans millions of blocks costs no more than one of a word. A document takes its words' share of its blocks.
 
 As documents (``mixed_documents``) a share taken / size is a whole number of copies or the next. Shares are summed in
 the order of (size class, bucket, size), largest first, and a document gets the whole numbers that its sum passes:
 neighbours have about equal sizes, so what one rounds up the next rounds down, in words too, and a source keeps its
 words but for about half its largest document.
 
-Distribution: a source is dealt over ``buckets`` hash buckets; running positions are sums over (source, bucket)
-totals plus a running sum within one bucket, so a source with a third of all rows is spread over as many tasks.
+Distribution: a source is dealt over hash buckets of about ``BUCKET_WORDS`` words were all words its own (their number
+follows from the counted words); running positions are sums over (source, bucket) totals plus a running sum within one
+bucket, so a source with a third of all rows is spread over as many tasks. A bucket's sort is bounded at any size.
 Sums of shares are carried over (source, class), then (source, class, bucket) totals in the same way.
 
 Defined cases: a null text has 0 words; null and repeated ids are ordinary rows; equal rows are tied and
@@ -30,12 +33,12 @@ from pyspark.sql import functions as F
 
 from ._runtime import materialize
 
-MAX_REPEAT, BUCKETS, SEED, FINE = 3, 1024, 20, 1000
+MAX_REPEAT, SEED, FINE, SHARDS = 3, 20, 1000, 24
+#: Words of a hash bucket, and the least number of buckets.
+BUCKET_WORDS, LEAST_BUCKETS = 1 << 21, 32
 #: Shares are whole numbers of 1 / UNIT, so that their sums are exact; size classes are 1 / CLASSES of an octave.
 UNIT, CLASSES = 1 << 24, 16
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Primes above 2**31, which so divide no block count: multipliers of the permutation, one is picked by the seed.
-PRIMES = (2147483659, 2147483693, 2147483713, 2147483743, 2147483777)
 
 
 def source_targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -70,48 +73,73 @@ def seat_quotas(targets: DataFrame, fine: int = FINE, max_repeat: int = MAX_REPE
     return t.join(won, F.col("source").eqNullSafe(F.col("bidder")), "left").withColumn("seats", F.col("sure") + F.coalesce("won", F.lit(0)))
 
 
-def shard_quotas(quotas: DataFrame, shards: int) -> DataFrame:
-    """(source, shard, seats): each shard's integer quota; seat v of q goes to shard v * shards div q, so every
-    source is spread over all shards and a shard's counts differ from its share by less than one."""
-    each = quotas.select("source", "seats", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    upto = lambda k: F.floor(F.col("seats") * k / shards + 0.5)
-    return each.select("source", "shard", (upto(F.col("shard") + 1) - upto(F.col("shard"))).cast("bigint").alias("seats"))
+def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """(source, shard, first, own_blocks, before, full, extra, phase): each shard's run of the source's blocks
+    [first, first + own_blocks) and its integer quota, full * own_blocks + extra seats. before: the extras of earlier
+    shards; phase: the seeded start of the choice. Quotas are the rounded running sum of seats in proportion to blocks."""
+    each = quotas.select("source", "seats", "blocks", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    first = lambda k: F.floor(F.col("blocks") * k / shards).cast("bigint")
+    more = F.coalesce(F.try_mod("seats", "blocks"), F.lit(0))
+    upto = lambda k: F.coalesce(F.floor(F.try_divide(first(k) * more, F.col("blocks")) + 0.5), F.lit(0)).cast("bigint")
+    k = F.col("shard")
+    out = each.select("source", "shard", "seats", first(k).alias("first"), (first(k + 1) - first(k)).alias("own_blocks"), upto(k).alias("before"),
+                      F.coalesce(F.floor(F.try_divide("seats", "blocks")), F.lit(0)).alias("full"), (upto(k + 1) - upto(k)).alias("extra"))
+    start = F.coalesce(F.try_mod(F.abs(F.xxhash64("source", "shard", F.lit(seed)) % (1 << 30)), F.col("own_blocks")), F.lit(0))
+    out = out.withColumn("phase", start.cast("bigint"))
+    return out.withColumn("quota", F.col("full") * F.col("own_blocks") + F.col("extra"))
 
 
-def _sized(docs: DataFrame, seed: int, buckets: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumns({"__id": F.col(id_col), "__source": F.col(source_col), "__size": F.regexp_count(text, F.lit(WORD)).cast("bigint"), "__mark": F.xxhash64(text)})
-    return rows.withColumn("__bucket", F.pmod(F.xxhash64("__id", "__mark", F.lit(seed)), F.lit(buckets)).cast("int"))
+    return rows.withColumn("__spot", F.xxhash64("__id", "__mark", F.lit(seed)))
 
 
-def _taken(rows: DataFrame, narrow: DataFrame, seed: int, max_repeat: int, fine: int, block: int | None) -> DataFrame:
+def _bucket(buckets: int):
+    return F.pmod("__spot", F.lit(buckets)).cast("int")
+
+
+def _bucket_count(narrow: DataFrame) -> int:
+    return max(LEAST_BUCKETS, -(-(narrow.agg(F.sum("__size")).first()[0] or 0) // BUCKET_WORDS))
+
+
+def _taken(rows: DataFrame, narrow: DataFrame, seed: int, shards: int, max_repeat: int, fine: int, block: int | None) -> DataFrame:
     """rows with __source_size, __target and __taken; narrow: the same rows, at least __source, __bucket and __size."""
     totals = narrow.groupBy("__source", "__bucket").agg(F.sum("__size").alias("words"))
     sizes = totals.groupBy(F.col("__source").alias("source")).agg(F.sum("words").alias("source_size"))
-    quotas = seat_quotas(source_targets(sizes, max_repeat), fine, max_repeat, block)
-    quotas = materialize(quotas.select(F.col("source").alias("of"), "source_size", "target", "block", "blocks", "seats"), "mix-quotas")
+    quotas = materialize(seat_quotas(source_targets(sizes, max_repeat), fine, max_repeat, block).select("source", "source_size", "target", "block", "blocks", "seats"), "mix-quotas")
+    dealt = shard_quotas(quotas, shards, seed).groupBy(F.col("source").alias("dealt")).agg(F.max("full").alias("full"), F.sort_array(F.collect_list(F.struct("shard", "first", "own_blocks", "before", "extra", "phase"))).alias("runs"))  # shards per source
+    quotas = quotas.join(dealt, F.col("source").eqNullSafe(F.col("dealt"))).withColumnRenamed("source", "of").drop("dealt", "seats")
     before = F.coalesce(F.sum("words").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.withColumn("__bucket_start", before).join(quotas, F.col("__source").eqNullSafe(F.col("of")))
-    starts = starts.select(F.col("__source").alias("__of"), F.col("__bucket").alias("__of_bucket"), "__bucket_start", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("block").alias("__block"), F.col("blocks").alias("__blocks"), F.col("seats").alias("__seats"))
+    starts = totals.withColumn("bucket_start", before).join(quotas, F.col("__source").eqNullSafe(F.col("of")))
+    starts = starts.select(*(F.col(c).alias(f"__{a}") for c, a in (("__source", "of"), ("__bucket", "of_bucket"), *((c, c) for c in ("bucket_start", "source_size", "target", "block", "blocks", "full", "runs")))))
     order = Window.partitionBy("__source", "__bucket").orderBy("__id", "__mark", "__size")
     placed = rows.withColumn("__within", F.coalesce(F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = placed.join(materialize(starts, "mix-starts"), F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__bucket") == F.col("__of_bucket")))
-    start, blocks, block_ = F.col("__bucket_start") + F.col("__within"), F.col("__blocks"), F.col("__block")
-    end = start + F.col("__size")
-    full, more = F.floor(F.try_divide("__seats", "__blocks")), F.col("__seats") % blocks
-    prime = F.lit(PRIMES[seed % len(PRIMES)]).cast("bigint")
-    chosen = lambda i: (i * (prime % blocks) + F.lit(seed)) % blocks < more
-    words = lambda i: F.least(end, (i + 1) * block_) - F.greatest(start, i * block_)
-    span = F.sequence(F.floor(start / block_), F.floor((end - 1) / block_))
-    extra = F.aggregate(span, F.lit(0).cast("bigint"), lambda acc, i: acc + F.when(chosen(i), words(i)).otherwise(F.lit(0)).cast("bigint"))
-    return placed.withColumn("__taken", F.when(F.col("__size") > 0, F.col("__size") * full + extra).otherwise(F.lit(0)).cast("bigint"))
-
-
-def mix(docs: DataFrame, seed: int = SEED, buckets: int = BUCKETS, max_repeat: int = MAX_REPEAT, fine: int = FINE, block: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    start = F.col("__bucket_start") + F.col("__within")
+    placed = placed.withColumns({"__from": _extra_words(start, shards), "__to": _extra_words(start + F.col("__size"), shards)})
+    return placed.withColumn("__taken", F.when(F.col("__size") > 0, F.col("__size") * F.col("__full") + F.col("__to") - F.col("__from")).otherwise(F.lit(0)).cast("bigint"))
+
+
+def _extra_words(at, shards: int):
+    """Words before position ``at`` of the source that lie in blocks taken once more than the others."""
+    block = F.col("__block")
+    i = F.least(F.floor(at / block), F.col("__blocks") - 1).cast("bigint")
+    # the shard whose run holds block i: runs begin at floor(blocks * shard / shards)
+    shard = F.greatest(F.lit(0), F.ceil((i + 1) * F.lit(shards) / F.col("__blocks")).cast("int") - 1)
+    run = F.element_at("__runs", shard + 1)
+    passed = lambda k: F.floor((k * run["extra"] + run["phase"]) / run["own_blocks"])
+    chosen = passed(i - run["first"])
+    inside = (passed(i - run["first"] + 1) - chosen) * (at - i * block)
+    return F.when(F.col("__blocks") > 0, (run["before"] + chosen) * block + inside).otherwise(F.lit(0)).cast("bigint")
+
+
+def mix(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, max_repeat: int = MAX_REPEAT, fine: int = FINE, block: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, taken): words that the mix takes of each document."""
-    rows = _sized(docs.select(id_col, text_col, source_col), seed, buckets, id_col, text_col, source_col)
-    rows = materialize(rows.select("__id", "__source", "__size", "__mark", "__bucket"), "mix")
-    out = _taken(rows, rows, seed, max_repeat, fine, block)
+    rows = _sized(docs.select(id_col, text_col, source_col), seed, id_col, text_col, source_col)
+    rows = materialize(rows.select("__id", "__source", "__size", "__mark", "__spot"), "mix")
+    rows = rows.withColumn("__bucket", _bucket(_bucket_count(rows)))
+    out = _taken(rows, rows, seed, shards, max_repeat, fine, block)
     return out.select(*(F.col(f"__{c}").alias("doc_id" if c == "id" else c) for c in ("id", "source", "size", "source_size", "target", "taken")))
 
 
@@ -131,13 +159,15 @@ def _share_starts(shared: DataFrame) -> DataFrame:
     return starts.select(F.col("__source").alias("__in"), F.col("__class").alias("__in_class"), F.col("__bucket").alias("__in_bucket"), (F.col("class_start") + F.col("within")).alias("__share_start"))
 
 
-def mixed_documents(docs: DataFrame, seed: int = SEED, buckets: int = BUCKETS, max_repeat: int = MAX_REPEAT, fine: int = FINE, block: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, max_repeat: int = MAX_REPEAT, fine: int = FINE, block: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix as documents, all columns: each as often as its words are taken, rounded up or down (so from 0 to
     max_repeat times) such that a source's words add up. Texts travel with the windows' shuffle."""
-    rows = _sized(docs, seed, buckets, id_col, text_col, source_col)
-    narrow = materialize(rows.select("__id", "__source", "__size", "__mark", "__bucket"), "mix-narrow")
-    starts = materialize(_share_starts(_shared(_taken(narrow, narrow, seed, max_repeat, fine, block))), "mix-shares")
-    shared = _shared(_taken(rows, narrow, seed, max_repeat, fine, block))
+    rows = _sized(docs, seed, id_col, text_col, source_col)
+    narrow = materialize(rows.select("__id", "__source", "__size", "__mark", "__spot"), "mix-narrow")
+    bucket = _bucket(_bucket_count(narrow))
+    rows, narrow = rows.withColumn("__bucket", bucket), narrow.withColumn("__bucket", bucket)
+    starts = materialize(_share_starts(_shared(_taken(narrow, narrow, seed, shards, max_repeat, fine, block))), "mix-shares")
+    shared = _shared(_taken(rows, narrow, seed, shards, max_repeat, fine, block))
     order = Window.partitionBy("__source", "__bucket", "__class").orderBy(F.col("__size").desc(), "__id", "__mark", "__taken")
     shared = shared.withColumn("__shares", F.sum("__share").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     out = shared.join(starts, F.col("__source").eqNullSafe(F.col("__in")) & (F.col("__class") == F.col("__in_class")) & (F.col("__bucket") == F.col("__in_bucket")))
