@@ -560,6 +560,50 @@ def test_decontamination(spark, odd):
     assert decontaminate.find_leaks(odd.limit(0), b).count() == 0 and decontaminate.find_leaks(df, b.limit(0)).count() == 0
 
 
+def test_decontamination_against_all_windows(spark, monkeypatch):
+    """Hits against a plain search: every window of every document, LCS by a full table. Blocks of a few items."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 700)
+    rng = random.Random(17)
+    bench = [(k, sentence(rng, rng.randrange(8, 40), 600)) for k in range(12)]
+    rows = []
+    for k in range(60):
+        words = sentence(rng, rng.randrange(20, 90), 600).split()
+        if k % 2:
+            own = bench[rng.randrange(12)][1].split()
+            share = rng.choice([0, 0.1, 0.5])
+            own = [f"p{rng.randrange(10**6)}" if rng.random() < share else w for w in own]
+            at = rng.randrange(len(words))
+            words[at:at] = own
+        rows.append((k, " ".join(words)))
+
+    def lcs(x, y):
+        last = [0] * (len(y) + 1)
+        for a in x:
+            now = [0]
+            for j, b in enumerate(y):
+                now.append(last[j] + 1 if a == b else max(last[j + 1], now[-1]))
+            last = now
+        return last[-1]
+
+    best = {(d, i): max(lcs(w[a : a + round(1.25 * len(t.split()))], t.split()) for a in range(len(w))) / len(t.split()) for d, text in rows for i, t in bench for w in [text.split()]}
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string"))
+    got = set(rows_of(found, "doc_id", "item_id"))
+    sure, never = {p for p, x in best.items() if x >= 0.85}, {p for p, x in best.items() if x < decontaminate.LCS - 0.1}
+    assert len(sure) >= 10 and sure <= got and not got & never
+
+
+def test_decontamination_of_short_and_very_long_items(spark):
+    rng = random.Random(19)
+    long = sentence(rng, 6000, 4000)
+    bench = [(1, "quite short"), (2, "Single"), (3, "one two three four"), (4, long), (5, ""), (6, "!!"), (7, "quite short")]
+    kept = long.split()
+    bent = " ".join(w for k, w in enumerate(kept) if k % 9)
+    rows = [(1, "a quite short text"), (2, "quite a short one"), (3, "x single"), (4, "one two three five"), (5, "ONE two, three four!"), (6, sentence(rng, 500) + " " + long), (7, bent), (8, "quite"), (9, "short quite")]
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string"))
+    got = {(r["doc_id"], r["item_id"]): (r["first_word"], r["last_word"]) for r in found.collect()}
+    assert set(got) == {(1, 1), (1, 7), (3, 2), (5, 3), (6, 4), (7, 4)} and got[1, 7] == (1, 2) and got[6, 4] == (500, 6499)
+
+
 def test_decontamination_of_cut_items(spark):
     rng = random.Random(13)
     bench = [(k, sentence(rng, rng.randrange(25, 70), 3000)) for k in range(30)]
@@ -594,7 +638,7 @@ def test_lcs_and_latent_vectors():
         for i, a in enumerate(x):
             for j, c in enumerate(y):
                 table[i + 1][j + 1] = table[i][j] + 1 if a == c else max(table[i][j + 1], table[i + 1][j])
-        assert decontaminate.lcs_length(x, y) == len(pairs) == table[-1][-1]
+        assert decontaminate.lcs_length(x, y) == len(pairs) == table[-1][-1] and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
         assert all(x[i] == y[j] for i, j in pairs) and pairs == sorted(pairs)
     g = np.random.default_rng(0)
     a = g.standard_normal((300, 6)) @ g.standard_normal((6, 50))

@@ -9,29 +9,64 @@
    features by their number.
 3. Search: windows over each whole document, of lengths and strides that hold every item in some window, are
    projected by the basis. A window is a candidate for an item when the cosine and the covered share of the item's
-   latent vector pass. Windows whose terms weigh too little to cover an item aren't projected.
+   latent vector pass. Windows whose terms weigh too little to cover an item aren't projected. What the basis doesn't
+   show of an item's words, their sequence does: runs of ``GRAM`` of an item's words (its rarest runs among the items,
+   or all that at most ``SHARED`` items hold) are candidates too, so an item that stands verbatim is always one.
 4. Check: longest common subsequence of the candidate region and the item, in words and in weight. This accepts
    paraphrases that change, drop or add some words, and passages cut or re-worded at either end. A weak likeness, of
    less than ``CLOSE`` of the words and without a run of ``LCS`` of them (``RUN`` at least), must hold the answer too,
    taken to be the item's last words.
+5. Items of fewer than ``LEAST`` words have no passage to speak of: they match where their words stand consecutively.
 
-The benchmark is taken in blocks of bounded text, each a search of its own, so what travels to the executors is
-bounded whatever the benchmark's size.
+The benchmark is taken in blocks of bounded text, each with a basis of its own; ``GROUP`` blocks share the passes over the
+documents, so what travels to the executors is bounded whatever the benchmark's size.
 
-Defined cases: null or empty texts and items of fewer than ``LEAST`` words match nothing; null and repeated ids are
-judged by their text; equal texts get equal answers; items with equal words are both reported; empty tables give
-empty results (an empty benchmark keeps all documents); other columns pass through the filter.
+Memory: an item's subsequence is traced over bit rows, of which only about twice the square root of its region's words
+are kept, and windows of long items are projected a few at a time; an item of 20,000 words takes some ten megabytes and
+a second for each region.
+
+Defined cases: null or empty texts and wordless items match nothing; null and repeated ids are judged by their text;
+equal texts get equal answers; items with equal words are both reported; empty tables give empty results (an empty
+benchmark keeps all documents); other columns pass through the filter.
 """
 
+from math import isqrt
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import ALNUM, Vocabulary, WordHasher, slices, texts_of
+from ._words import ALNUM, Vocabulary, WordHasher, mix, slices, texts_of
 
 PASSAGE, STOP, STOP_LEAST, LEAST, RANK, SKETCH, FEATURES, FAN_IN = 32, 0.002, 50, 5, 64, 80, 1 << 14, 8
 COSINE, COVERED, LCS, LCS_WEIGHT, ANSWER, CLOSE, RUN = 0.5, 0.5, 0.6, 0.6, 0.5, 0.8, 10
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, GROUP, GRAM, SHARED = 4 << 20, 8, 8, 16
+
+
+def runs_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n words."""
+    out = hashes
+    for k in range(1, n):
+        out = mix(out[:-1] * np.uint64(0x9FB21C651E98DF25) + hashes[k:]) if len(out) > 1 else out[:0]
+    return out
+
+
+class Places:
+    """Where runs of words stand: ``add`` (run, place) pairs, then ``find`` gives (index, place) of known runs."""
+
+    def __init__(self, runs: np.ndarray, places: list):
+        order = np.argsort(runs, kind="stable")
+        self.table, first = np.unique(runs[order], return_index=True)
+        self.first = np.append(first, len(runs))
+        self.places = [places[k] for k in order.tolist()]
+
+    def find(self, runs: np.ndarray):
+        if not len(self.table):
+            return
+        at = np.minimum(np.searchsorted(self.table, runs), len(self.table) - 1)
+        for i in np.flatnonzero(self.table[at] == runs).tolist():
+            for k in range(self.first[at[i]], self.first[at[i] + 1]):
+                yield i, self.places[k]
 
 
 class Items:
@@ -40,10 +75,34 @@ class Items:
     def __init__(self, rows: list[tuple]):
         hasher = WordHasher(ALNUM)
         words = [(i, hasher.words((t or "").encode())[2]) for i, t in rows]
+        self.short = {}
+        for n in range(1, LEAST):
+            own = [(i, w) for i, w in words if len(w) == n]
+            if own:
+                self.short[n] = Places(np.concatenate([runs_of(w, n) for _, w in own]), [i for i, _ in own])
         words = [(i, w) for i, w in words if len(w) >= LEAST]
         self.ids = [i for i, _ in words]
-        self.vocabulary = Vocabulary(np.concatenate([w for _, w in words] or [np.zeros(0, np.uint64)]))
-        self.words = [self.vocabulary.tokens(w) for _, w in words]
+        self.hashes = [w for _, w in words]
+        self.vocabulary = Vocabulary(np.concatenate([*self.hashes, np.zeros(0, np.uint64)]))
+        self.words = [self.vocabulary.tokens(w) for w in self.hashes]
+
+    def runs(self) -> dict[int, Places]:
+        """By run length: the (item, word) places of the runs that make an item a candidate."""
+        out = {}
+        for n in range(LEAST, GRAM + 1):
+            own = [k for k, w in enumerate(self.hashes) if min(len(w), GRAM) == n]
+            grams = [runs_of(self.hashes[k], n) for k in own]
+            held = [np.unique(g) for g in grams]
+            known, holders = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+            runs, places = [], []
+            for k, g in zip(own, grams, strict=True):
+                count = holders[np.searchsorted(known, g)]
+                use = np.flatnonzero(count <= max(SHARED, count.min()))
+                runs.append(g[use])
+                places += [(k, j) for j in use.tolist()]
+            if own:
+                out[n] = Places(np.concatenate(runs), places)
+        return out
 
 
 def passages(tokens: np.ndarray, bounds: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -56,19 +115,22 @@ def passages(tokens: np.ndarray, bounds: np.ndarray, terms: int) -> tuple[np.nda
     return pair // terms, pair % terms, int(first[-1])
 
 
-def frequencies(items):
+def frequencies(shared):
+    """Passage frequencies of each block's terms, each followed by the number of passages."""
+
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        vocabulary, hasher = Items(items.value).vocabulary, WordHasher(ALNUM)
-        total = np.zeros(len(vocabulary) + 1)
+        blocks, hasher = [Items(rows).vocabulary for rows in shared.value], WordHasher(ALNUM)
+        totals = [np.zeros(len(v) + 1) for v in blocks]
         for batch in slices(batches):
             for _, hashes, bounds in hasher.documents(texts_of(batch)):
-                _, terms, n = passages(vocabulary.tokens(hashes), bounds, len(vocabulary))
-                total[:-1] += np.bincount(terms, minlength=len(vocabulary))
-                total[-1] += n
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "payload"])
+                for vocabulary, total in zip(blocks, totals, strict=True):
+                    _, terms, n = passages(vocabulary.tokens(hashes), bounds, len(vocabulary))
+                    total[:-1] += np.bincount(terms, minlength=len(vocabulary))
+                    total[-1] += n
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([np.concatenate(totals).tobytes()], pa.binary())], ["part", "payload"])
 
     return run
 
@@ -79,30 +141,35 @@ def group_sums(values: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndar
     return key[at], np.add.reduceat(values, at, axis=0)
 
 
-def gram_product(items, model):
-    """A' (A W) over a task's passages."""
+def add_product(total: np.ndarray, vocabulary: Vocabulary, weight: np.ndarray, basis: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> None:
+    passage, term, _ = passages(vocabulary.tokens(hashes), bounds, len(vocabulary))
+    use = weight[term] > 0
+    passage, term = passage[use], term[use]
+    if not len(term):
+        return
+    value, feature = weight[term].astype(np.float32)[:, None], term % len(basis)
+    which, rows = group_sums(value * basis[feature], passage)
+    back = value * rows[np.searchsorted(which, passage)]
+    order = np.argsort(feature, kind="stable")
+    features, sums = group_sums(back[order], feature[order])
+    total[features] += sums
+
+
+def gram_product(shared, models):
+    """A' (A W) over a task's passages, of each block."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        vocabulary, hasher = Items(items.value).vocabulary, WordHasher(ALNUM)
-        weight, basis = model.value
-        total = np.zeros(basis.shape, dtype=np.float64)
+        blocks, hasher = [(Items(rows).vocabulary, *model) for rows, model in zip(shared.value, models.value, strict=True)], WordHasher(ALNUM)
+        totals = [np.zeros(basis.shape, dtype=np.float64) for _, _, basis in blocks]
         for batch in slices(batches):
             for _, hashes, bounds in hasher.documents(texts_of(batch)):
-                passage, term, _ = passages(vocabulary.tokens(hashes), bounds, len(vocabulary))
-                use = weight[term] > 0
-                passage, term = passage[use], term[use]
-                if not len(term):
-                    continue
-                value, feature = weight[term].astype(np.float32)[:, None], term % len(basis)
-                which, rows = group_sums(value * basis[feature], passage)
-                back = value * rows[np.searchsorted(which, passage)]
-                order = np.argsort(feature, kind="stable")
-                features, sums = group_sums(back[order], feature[order])
-                total[features] += sums
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "payload"])
+                for total, block in zip(totals, blocks, strict=True):
+                    add_product(total, *block, hashes, bounds)
+        payload = np.concatenate([t.ravel() for t in totals]).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([payload], pa.binary())], ["part", "payload"])
 
     return run
 
@@ -150,37 +217,68 @@ def leading_vectors(sketch: np.ndarray, test: np.ndarray, rank: int) -> np.ndarr
     return np.linalg.svd(shifted @ root, full_matrices=False)[0][:, :rank]
 
 
-def fit(docs: DataFrame, items: Items, shared, rank: int = RANK, sketch: int = SKETCH) -> tuple[np.ndarray, np.ndarray]:
-    """(weight of each term, features x rank basis)."""
+def fit(docs: DataFrame, blocks: list[Items], shared, rank: int = RANK, sketch: int = SKETCH) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(weight of each term, features x rank basis) of each block, in two passes over the documents."""
     spark = docs.sparkSession
-    parts, features = docs.rdd.getNumPartitions(), min(len(items.vocabulary), FEATURES)
+    parts = docs.rdd.getNumPartitions()
+    sizes = [len(b.vocabulary) for b in blocks]
     total = tree_sum(docs.mapInArrow(frequencies(shared), "part bigint, payload binary"), parts)
-    n = len(items.vocabulary)
-    weight = term_weights(items, total[:n], total[n]) if total is not None else np.ones(n)
-    test = np.random.default_rng(3).standard_normal((features, min(sketch, features))).astype(np.float32)
-    model = spark.sparkContext.broadcast((weight, test))  # at most BLOCK_BYTES of terms, FEATURES x SKETCH
-    product = tree_sum(docs.mapInArrow(gram_product(shared, model), "part bigint, payload binary"), parts)
-    model.unpersist()
-    if product is None or not product.any():
-        return weight, np.linalg.qr(test)[0][:, :rank].astype(np.float32)
-    return weight, leading_vectors(product.reshape(test.shape), test.astype(np.float64), min(rank, features)).astype(np.float32)
+    total = np.zeros(sum(sizes) + len(sizes)) if total is None else total
+    weights, tests = [], []
+    for own, block in zip(np.split(total, np.cumsum([n + 1 for n in sizes])[:-1]), blocks, strict=True):
+        weights.append(term_weights(block, own[:-1], own[-1]))
+        features = min(len(own) - 1, FEATURES)
+        tests.append(np.random.default_rng(3).standard_normal((features, min(sketch, features))).astype(np.float32))
+    models = spark.sparkContext.broadcast(list(zip(weights, tests, strict=True)))  # at most GROUP x (BLOCK_BYTES of terms, FEATURES x SKETCH)
+    product = tree_sum(docs.mapInArrow(gram_product(shared, models), "part bigint, payload binary"), parts)
+    models.unpersist()
+    out = []
+    for k, (weight, test) in enumerate(zip(weights, tests, strict=True)):
+        at = sum(t.size for t in tests[:k])
+        own = None if product is None else product[at : at + test.size].reshape(test.shape)
+        if not test.size:
+            basis = np.zeros((1, 1))
+        elif own is None or not own.any():
+            basis = np.linalg.qr(test)[0][:, :rank]
+        else:
+            basis = leading_vectors(own, test.astype(np.float64), min(rank, len(test)))
+        out.append((weight, basis.astype(np.float32)))
+    return out
 
 
-def lcs_pairs(x: list, y: list) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence."""
-    rows = [[0] * (len(y) + 1)]
+def bit_rows(x: list, y: list, row: int):
+    """Yields, after each element of x, the bits at which the row of subsequence lengths doesn't rise."""
+    where: dict = {}
+    for j, b in enumerate(y):
+        where[b] = where.get(b, 0) | (1 << j)
+    full = (1 << len(y)) - 1
     for a in x:
-        last, now, left = rows[-1], [0], 0
-        for j, b in enumerate(y):
-            left = last[j] + 1 if a == b else (last[j + 1] if last[j + 1] >= left else left)
-            now.append(left)
-        rows.append(now)
+        m = where.get(a, 0)
+        if m:
+            u = row & m
+            row = ((row + u) | (row - u)) & full
+        yield row
+
+
+def lcs_pairs(x: list, y: list) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence. Every isqrt(len(x))-th bit row is kept, the rows between are made
+    again when the trace reaches them."""
+    full, step = (1 << len(y)) - 1, isqrt(len(x)) + 1
+    kept = [full]
+    for i, row in enumerate(bit_rows(x, y, full), 1):
+        if i % step == 0:
+            kept.append(row)
     i, j, out = len(x), len(y), []
+    rows: list = []
+    base = len(x) + 1
     while i and j:
-        if rows[i][j] == rows[i - 1][j]:
-            i -= 1
-        elif rows[i][j] == rows[i][j - 1]:
+        if i - 1 < base:  # the rows base .. i, row base being kept
+            base = (i - 1) // step * step
+            rows = [kept[base // step], *bit_rows(x[base:i], y, kept[base // step])]
+        if rows[i - base] >> (j - 1) & 1:
             j -= 1
+        elif i > 1 and not rows[i - 1 - base] >> (j - 1) & 1:
+            i -= 1
         else:
             i, j = i - 1, j - 1
             out.append((i, j))
@@ -189,16 +287,9 @@ def lcs_pairs(x: list, y: list) -> list[tuple[int, int]]:
 
 def lcs_length(x: list, y: list) -> int:
     """Bit-parallel: one big-integer step per element of x."""
-    where: dict = {}
-    for j, b in enumerate(y):
-        where[b] = where.get(b, 0) | (1 << j)
-    full = (1 << len(y)) - 1
-    row = full
-    for a in x:
-        m = where.get(a, 0)
-        if m:
-            u = row & m
-            row = ((row + u) | (row - u)) & full
+    row = (1 << len(y)) - 1
+    for row in bit_rows(x, y, row):  # noqa: B007  the last one counts
+        pass
     return len(y) - row.bit_count()
 
 
@@ -212,9 +303,11 @@ def longest_run(pairs: list[tuple[int, int]]) -> int:
 
 
 class Searcher:
+    """Finds the items of one block."""
+
     def __init__(self, items: Items, weight: np.ndarray, basis: np.ndarray):
-        self.items, self.basis = items, basis
-        self.vocabulary, self.hasher = items.vocabulary, WordHasher(ALNUM)
+        self.items, self.basis, self.runs = items, basis, items.runs()
+        self.vocabulary = items.vocabulary
         self.weight = np.append(weight, 0.0)
         self.answer = [max(3, len(w) // 6) for w in items.words]
         vectors = np.array([self.latent(np.unique(w)) for w in items.words], dtype=np.float32).reshape(len(items.words), basis.shape[1])
@@ -252,8 +345,9 @@ class Searcher:
             held = total[end] - total[at]
             for least, which, vectors, norms in strata:
                 heavy = np.flatnonzero(held >= least)
-                for k in range(0, len(heavy), 1024):
-                    a, b = at[heavy[k : k + 1024]], end[heavy[k : k + 1024]]
+                step = max(1, min(1024, (1 << 19) // size))
+                for k in range(0, len(heavy), step):
+                    a, b = at[heavy[k : k + step]], end[heavy[k : k + step]]
                     x = self.project(tokens, a, b, size)
                     dot = x @ vectors
                     length = np.maximum(np.linalg.norm(x, axis=1), 1e-9)
@@ -284,29 +378,59 @@ class Searcher:
         sure = answer >= ANSWER or len(pairs) >= CLOSE * len(own) or longest_run(pairs) >= max(RUN, LCS * len(own))
         return (pairs[0][0], pairs[-1][0], len(pairs) / len(own), weight, answer) if weight >= LCS_WEIGHT and sure else None
 
-    def search(self, texts: list) -> list[list[tuple]]:
+    def candidates(self, tokens: np.ndarray, hashes: np.ndarray, bounds: np.ndarray):
+        """(document, item, first word, end, cosine) of the regions to check."""
+        for a, b, item, cosine in self.windows(tokens, bounds):
+            yield int(np.searchsorted(bounds, a, side="right")) - 1, item, a, b, cosine
+        for n, known in self.runs.items():
+            for i, (item, j) in known.find(runs_of(hashes, n)):
+                d = int(np.searchsorted(bounds, i, side="right")) - 1
+                if i + n <= bounds[d + 1]:
+                    yield d, item, i - j, i - j + len(self.items.words[item]), 1.0
+
+    def search(self, hashes: np.ndarray, bounds: np.ndarray) -> list[list[tuple]]:
         """(item id, first word, last word, cosine, words, weight, answer) of each text's hits, one per item."""
-        out: list[list[tuple]] = []
-        for _, hashes, bounds in self.hasher.documents(texts):
-            tokens = self.vocabulary.tokens(hashes)
-            regions: dict = {}
-            for a, b, item, cosine in self.windows(tokens, bounds):
-                d = int(np.searchsorted(bounds, a, side="right")) - 1
-                reach = len(self.items.words[item]) // 4
-                spans = regions.setdefault((d, item), [])
-                a, b = max(int(bounds[d]), a - reach), min(int(bounds[d + 1]), b + reach)
-                if spans and a <= spans[-1][1]:
+        tokens = self.vocabulary.tokens(hashes)
+        found: list[list[tuple]] = [[] for _ in range(len(bounds) - 1)]
+        regions: dict = {}
+        for d, item, a, b, cosine in self.candidates(tokens, hashes, bounds):
+            reach = len(self.items.words[item]) // 4 + 1
+            regions.setdefault((d, item), []).append((max(int(bounds[d]), a - reach), min(int(bounds[d + 1]), b + reach), cosine))
+        for (d, item), raw in sorted(regions.items()):
+            spans, most = [], 4 * len(self.items.words[item])
+            for a, b, cosine in sorted(raw):
+                if spans and a <= spans[-1][1] and (b <= spans[-1][1] or b - spans[-1][0] <= most):
                     spans[-1][1], spans[-1][2] = max(b, spans[-1][1]), max(cosine, spans[-1][2])
                 else:
                     spans.append([a, b, cosine])
-            found: list[list[tuple]] = [[] for _ in range(len(bounds) - 1)]
-            for (d, item), spans in sorted(regions.items()):
-                hits = [(s, h) for s in spans if (h := self.check(tokens[s[0] : s[1]].tolist(), item))]
-                if hits:
-                    s, h = max(hits, key=lambda x: x[1][2])
-                    base = s[0] - int(bounds[d])
-                    found[d].append((self.items.ids[item], base + h[0], base + h[1], s[2], *h[2:]))
-            out += found
+            hits = [(s, h) for s in spans if (h := self.check(tokens[s[0] : s[1]].tolist(), item))]
+            if hits:
+                s, h = max(hits, key=lambda x: x[1][2])
+                base = s[0] - int(bounds[d])
+                found[d].append((self.items.ids[item], base + h[0], base + h[1], s[2], *h[2:]))
+        for n, known in self.items.short.items():
+            first: dict = {}
+            for i, item in known.find(runs_of(hashes, n)):
+                d = int(np.searchsorted(bounds, i, side="right")) - 1
+                if i + n <= bounds[d + 1]:
+                    first.setdefault((d, item), i - int(bounds[d]))
+            for (d, item), at in first.items():
+                found[d].append((item, at, at + n - 1, 1.0, 1.0, 1.0, 1.0))
+        return found
+
+
+class Searchers:
+    """All blocks of a group over the same words."""
+
+    def __init__(self, blocks: list, models: list):
+        self.hasher = WordHasher(ALNUM)
+        self.blocks = [Searcher(Items(rows), *model) for rows, model in zip(blocks, models, strict=True)]
+
+    def search(self, texts: list) -> list[list[tuple]]:
+        out: list[list[tuple]] = []
+        for _, hashes, bounds in self.hasher.documents(texts):
+            own = [b.search(hashes, bounds) for b in self.blocks]
+            out += [[h for hits in each for h in hits] for each in zip(*own, strict=True)]
         return out
 
 
@@ -317,7 +441,7 @@ def pair_finder(items, model):
     def run(batches):
         import pyarrow as pa
 
-        searcher = Searcher(Items(items.value), *model.value)
+        searcher = Searchers(items.value, model.value)
         kinds = [pa.int64()] * 3 + [pa.float64()] * 4
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for batch in slices(batches):
@@ -333,28 +457,30 @@ def clean_filter(items, model, text_col: str):
     def run(batches):
         import pyarrow as pa
 
-        searcher = Searcher(Items(items.value), *model.value)
-        for batch in slices(batches):
+        searcher = Searchers(items.value, model.value)
+        for batch in slices(batches, text_col):
             yield batch.filter(pa.array([not h for h in searcher.search(texts_of(batch, text_col))], pa.bool_()))
 
     return run
 
 
 def searches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str = "item_id"):
-    """Broadcast (rows, model) of each block of the benchmark, fitted on all documents."""
+    """Broadcast (rows, models) of each group of blocks of the benchmark, fitted on all documents."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"))
     bench = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), "text")
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
-    for k in range(blocks):
-        rows = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]  # about BLOCK_BYTES
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        items = Items(rows)
-        if not items.ids:
-            continue
-        shared = spark.sparkContext.broadcast(rows)
-        yield shared, spark.sparkContext.broadcast(fit(texts, items, shared))
+    bench = bench.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    for k in range(0, blocks, GROUP):
+        group: dict = {}
+        for row in bench.where(F.col("block").between(k, min(k + GROUP, blocks) - 1)).collect():  # about GROUP x BLOCK_BYTES
+            group.setdefault(row["block"], []).append((row["item_id"], row["text"]))
+        rows = [sorted(own, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")) for _, own in sorted(group.items())]
+        items = [Items(own) for own in rows]
+        if any(b.ids or b.short for b in items):
+            shared = spark.sparkContext.broadcast(rows)
+            yield shared, spark.sparkContext.broadcast(fit(texts, items, shared))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
