@@ -395,6 +395,56 @@ def test_license_scan_base_places(spark, odd):
     assert license_scan.scan_licenses(odd).count() == odd.count() and license_scan.scan_licenses(odd.limit(0)).count() == 0
 
 
+def test_license_base_phrases_of_one_and_two_words(spark):
+    base = {"cc0": "cc0", "public domain": "pd", "a b a": "aba"}
+    rng = random.Random(41)
+    rows = [(k, " ".join(rng.choice(["cc0", "public", "domain", "a", "b", "zz", "license"]) for _ in range(rng.randrange(12)))) for k in range(80)]
+    made = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string"), base=base)
+    for r in made.collect():
+        w = rows[r["doc_id"]][1].split()
+        places = [(a, label) for p, label in base.items() for a in range(len(w)) if w[a : a + len(p.split())] == p.split()]
+        assert (r["n_base"], r["base_labels"]) == (len(places), ",".join(sorted({x for _, x in places}))), rows[r["doc_id"]]
+
+
+def test_license_chains_against_all_chains():
+    """The covered share of the best chain against a plain search over all chains of maximal matches."""
+    templates = [("x", "a b c d e f g h i j k l"), ("y", "m n a b c d o p q r s t")]
+    scanner = license_scan.Scanner(templates, {})
+    vocabulary = scanner.vocabulary
+    rng = random.Random(43)
+    for _ in range(150):
+        own = rng.choice(templates)[1].split()
+        words = [w for w in own if rng.random() > 0.1]
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(words))
+            words[at:at] = rng.choice([["zz"], own[:4], own[-5:], ["a", "b", "c", "d"]])
+        hashes = scanner.hasher.words(" ".join(words).encode())[2]
+        got = defaultdict(float)
+        for label, _, _, covered in scanner.scan(vocabulary.tokens(hashes))["spans"]:
+            got[label] = max(got[label], covered)
+        for label, text in templates:
+            t = text.split()
+            every = {tuple(x.split()[a:b]) for _, x in templates for a in range(12) for b in range(a + 1, 13) for x in [x]}
+            stats, n = [], 0
+            for i in range(len(words)):
+                n = next((k for k in range(min(12, i + 1), 0, -1) if tuple(words[i + 1 - k : i + 1]) in every), 0)
+                stats.append(n)
+            matches = []
+            for i, n in enumerate(stats):
+                if n >= license_scan.MIN_MATCH and (i + 1 == len(stats) or stats[i + 1] != n + 1):
+                    run = words[i + 1 - n : i + 1]
+                    matches += [(i + 1 - n, a, n) for a in range(len(t) - n + 1) if t[a : a + n] == run]
+            best = [0] * len(matches)
+            for k, (start, at, n) in enumerate(matches):
+                best[k] = n
+                for j, (start2, at2, n2) in enumerate(matches[:k]):
+                    end, reach = start2 + n2, at2 + n2
+                    cut = max(0, end - start, reach - at)
+                    if start - end <= license_scan.GAP and at - reach <= license_scan.GAP and cut < n:
+                        best[k] = max(best[k], best[j] + n - cut)
+            assert got[label] == pytest.approx(max(best, default=0) / len(t)), (words, label)
+
+
 def test_license_spans_and_automaton():
     scanner = license_scan.Scanner()
     text = "junk " + license_scan.TEMPLATES[5][1].replace("modification", "any modification") + " junk"
@@ -477,16 +527,16 @@ def test_piece_encoder_over_all_of_unicode():
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(spark, odd, rule):
     encoding, width = token_counts.load(*token_counts.rank_file())
-    sample = odd.where("doc_id <> 12")
     got = defaultdict(list)
-    for r in token_counts.section_tokens(sample, rule).collect():
+    for r in token_counts.section_tokens(odd, rule).collect():
         got[r["doc_id"]].append((r["section"], r["n_bytes"], r["n_tokens"], r["n_crossing"], r["doc_tokens"]))
-    rows = rows_of(sample, "doc_id", "text") + [(-1, "a\n\nbb\n \n  c\r\n")]
-    for i, t in rows[:-1]:
-        if not t:
-            assert i not in got
-            continue
-        assert sum(x[2] for x in got[i]) == len(encoding.encode_ordinary(t)) * len(got[i]) // (max(x[0] for x in got[i]) + 1)
+    rows = rows_of(odd, "doc_id", "text")
+    for i, t in rows:
+        t, times = t or "", Counter(x for x, _ in rows)[i]
+        n = len(encoding.encode_ordinary(t))
+        assert {x[4] for x in got[i]} == {n} and sum(x[2] for x in got[i]) == n * times and sum(x[1] for x in got[i]) == len(t.encode()) * times
+        assert len(got[i]) == max(1, t.count("\n") + (not t.endswith("\n") and t != "")) * times
+    rows = [(-1, "a\n\nbb\n \n  c\r\n")]
     # token by token, byte by byte
     t = rows[-1][1]
     data, ids = t.encode(), encoding.encode_ordinary(t)
@@ -505,6 +555,46 @@ def test_token_counts(spark, odd, rule):
         token_counts.section_tokens(odd, "other")
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts_of_spans_and_fields(spark, rule):
+    """Spans of characters against a walk over bytes: gaps, overlaps, empty and clipped spans."""
+    encoding, width = token_counts.load(*token_counts.rank_file())
+    rng = random.Random(23)
+    rows = []
+    for k in range(40):
+        t = "".join(rng.choice("ab é東😀\n.") for _ in range(rng.randrange(40)))
+        cut = lambda: rng.randrange(-2, len(t) + 3)
+        rows.append((k, t, [{"first": cut(), "end": cut()} for _ in range(rng.randrange(6))]))
+    rows += [(100, None, [{"first": 0, "end": 5}]), (101, "abc def", None), (102, "abc def", [None, {"first": None, "end": 3}, {"first": 2, "end": None}])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, spans array<struct<first: bigint, end: bigint>>")
+    got = defaultdict(dict)
+    for r in token_counts.section_tokens(df, rule, spans_col="spans").collect():
+        got[r["doc_id"]][r["section"]] = (r["first_byte"], r["n_bytes"], r["n_tokens"])
+    for i, t, spans in rows:
+        t = t or ""
+        data = t.encode()
+        places = []
+        for s in spans or []:
+            a = min(max((s or {}).get("first") or 0, 0), len(t))
+            e = (s or {}).get("end")
+            places.append((len(t[:a].encode()), len(t[: max(a, min(max(e, 0), len(t)) if e is not None else 0)].encode())))
+        assert len(got[i]) == len(places)
+        inner = sorted({p for ab in places for p in ab} - {0})
+        piece = [sum(p <= k for p in inner) for k in range(len(data))]
+        own, at = [], 0
+        for x in encoding.encode_ordinary(t):
+            held = piece[at : at + int(width[x])]
+            own.append(held[0] if rule == "first" else held[-1] if rule == "last" else max(sorted(set(held)), key=held.count))
+            at += int(width[x])
+        for k, (a, b) in enumerate(places):
+            inside = set(piece[a:b])
+            assert got[i][k] == (a, b - a, sum(p in inside for p in own)), (i, k)
+    made = token_counts.field_tokens(spark.createDataFrame([(1, "Title é", None, 5), (None, "", "body text", None)], "doc_id bigint, title string, body string, n int"), ["title", "body", "n"], rule=rule)
+    by = {(r["doc_id"], r["field"]): (r["n_bytes"], r["n_tokens"], r["doc_tokens"]) for r in made.collect()}
+    assert by[1, "title"][0] == 8 and by[1, "body"][:2] == (0, 0) and by[1, "n"][0] == 1 and by[None, "body"][0] == 9
+    assert by[1, "title"][2] == len(encoding.encode_ordinary("Title é\n\n5"))
+
+
 # --- op8
 def test_html():
     f = lambda x: html_text.extract(x)[1]

@@ -6,9 +6,8 @@ read off the automaton's suffix links. Right-maximal matches of ``MIN_MATCH`` wo
 order in both text and template, into spans; a span that covers ``COVER`` of its template's words labels the
 text. The score is the best covered share, 1 where a base phrase stands.
 
-A match of three words or more is a run of word pairs that stand together in some template. That is tested
-first, for all words at once, and only such runs are streamed: shorter matches can neither complete a base
-phrase nor be chained.
+A match is a run of word pairs that stand together in some template. That is tested first, for all words at once, and
+only such runs, of as many words as the shortest base phrase has (a chained match has ``MIN_MATCH``), are streamed.
 
 A match extends the chain of its template that gives the most covered words, or starts one where that gives as many;
 a chain stays open for later matches, so a stray fragment neither ends a chain nor spoils the notice after it. Of
@@ -53,6 +52,24 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("bsd-2", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-2", "licensed under the gnu general public license version 2"),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-3", "licensed under the gnu lesser general public license version 3"),
+    ("agpl-3", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at"),
+    ("epl-1", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("bsl-1", "boost software license version 1 0"),
+    ("wtfpl", "do what the fuck you want to public license"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1"),
 ]
 
 
@@ -135,20 +152,22 @@ class Scanner:
         self.sizes = [len(w) for w in words]
         self.first_base = len(texts) - len(base)
         self.automaton = Automaton(words, list(range(self.first_base, len(texts))))
+        self.least = min([MIN_MATCH, *self.sizes[self.first_base :]])
         n = len(self.vocabulary)
+        self.known = np.arange(n + 1) < n
         self.pair = np.zeros((n + 1, n + 1), dtype=bool)
         for w in words:
             self.pair[w[:-1], w[1:]] = True
 
     def runs(self, tokens: np.ndarray) -> list[tuple[int, int]]:
-        """[first, last + 1) of the runs of three words or more whose neighbours all occur in templates."""
-        edge = np.zeros(len(tokens) + 1, dtype=np.int8)
-        if len(tokens) > 1:
-            edge[1:-1] = self.pair[tokens[:-1], tokens[1:]]
-        step = np.diff(edge)
-        a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        keep = b - a >= 2
-        return list(zip(a[keep].tolist(), (b[keep] + 1).tolist(), strict=True))
+        """[first, last + 1) of the runs of ``least`` words or more whose neighbours all occur in templates."""
+        if not len(tokens):
+            return []
+        # a run ends where two neighbours occur in no template; unknown words are no run
+        joined = np.concatenate([[False], self.pair[tokens[:-1], tokens[1:]], [False]])
+        begins, ends = np.flatnonzero(~joined[:-1]), np.flatnonzero(~joined[1:]) + 1
+        keep = (ends - begins >= self.least) & self.known[tokens[begins]]
+        return list(zip(begins[keep].tolist(), ends[keep].tolist(), strict=True))
 
     def scan(self, tokens: np.ndarray) -> dict:
         starts, named, matches = [], set(), []
