@@ -611,9 +611,91 @@ def test_html():
     assert f("<table>" + "<tr><td>" + "w" * 500 + "<td>s" + "<tr><td>a<td>b</table>") == "w" * 500 + "  s\na  b"
 
 
+def test_html_tables():
+    f = lambda x: html_text.extract(x)[1]
+    assert f("<table><tr><td rowspan=2>r<td>1<td>x<tr><td>2<td>y<tr><td>zzz<td>3<td>w</table>") == "r    1  x\n     2  y\nzzz  3  w"
+    assert f("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d<tbody><tr><td>e<td>f</table>") == "a  b\n   c\n   d\ne  f"
+    assert f("<table><tr><td colspan=99999>a<td>b<tr><td>c<td>d</table>") == "a     b\nc  d"
+    long = " ".join(["word"] * 40)
+    lines = f(f"<table><tr><td>{long}<td>k<tr><td>a<td>b</table>").split("\n")
+    assert " ".join(x.removesuffix("k").strip() for x in lines[:-1]) == long and {x.index(c) for x, c in ((lines[0], "k"), (lines[-1], "b"))} == {lines[0].index("k")}
+    page = "<table>" + "<tr>" + "<td rowspan=3 colspan=2>x" * 2000 + "<tr><td>y" * 3 + "</table>"
+    assert f(page).count("x") == 2000 and f(page).count("y") == 3
+    assert f("<textarea>x\n y</textarea><select><option>o1<option>o2</select><math><mi>x</mi><mo>+</mo></math><svg><title>no</title><text>draw</text></svg><xmp><b>raw</b></xmp>z") == "x\n y\no1\no2\nx+draw\n\n<b>raw</b>\n\nz"
+
+
+def random_page(rng):
+    """(markup, text): the text is put together beside the markup, without any tree."""
+    word = lambda: rng.choice(["alpha", "b", "gamma&amp;x", "d1", "é", "five"])
+    plain = lambda x: x.replace("&amp;", "&")
+
+    def inline():
+        words = [word() for _ in range(rng.randrange(1, 6))]
+        marked = [f"<{t}>{w}</{t}>" if (t := rng.choice(["", "b", "i", "span class=c"])) and " " not in t else w for w in words]
+        junk = rng.choice(["", "<!-- x > y -->", "<script>if (a<b) {}</script>", "<span hidden>no</span>"])
+        return rng.choice([" ", "\n  "]).join(marked) + junk, plain(" ".join(words))
+
+    def items(depth):
+        kind, markup, lines = rng.choice(["ul", "ol"]), "", []
+        for k in range(rng.randrange(1, 4)):
+            text, shown = inline()
+            mark = "- " if kind == "ul" else f"{k + 1}. "
+            markup += f"<li>{text}"
+            lines.append(mark + shown)
+            if depth < 2 and rng.random() < 0.3:
+                inner, more = items(depth + 1)
+                markup += inner
+                lines += [" " * len(mark) + x for x in more]
+            markup += rng.choice(["", "</li>"])
+        return f"<{kind}>{markup}</{kind}>", lines
+
+    def table():
+        n, m = rng.randrange(1, 4), rng.randrange(2, 4)
+        cells = [[inline() for _ in range(m)] for _ in range(n)]
+        width = [max(len(r[c][1]) for r in cells) for c in range(m)]
+        lines = ["  ".join(x[1].ljust(w) for x, w in zip(r, width, strict=True)).rstrip() for r in cells]
+        body = "".join("<tr>" + "".join(f"<{(t := rng.choice(['td', 'th']))}>{x[0]}" + rng.choice(["", f"</{t}>"]) for x in r) + rng.choice(["", "</tr>"]) for r in cells)
+        return "<table>" + rng.choice(["", "<tbody>"]) + body + "</table>", lines
+
+    markup, blocks = "", []
+    for _ in range(rng.randrange(1, 7)):
+        kind = rng.randrange(5)
+        if kind == 0:
+            text, shown = inline()
+            markup += f"<p>{text}" + rng.choice(["", "</p>"])
+            lines = [shown]
+        elif kind == 1:
+            text, lines = items(0)
+            markup += text
+        elif kind == 2:
+            text, lines = table()
+            markup += text
+        elif kind == 3:
+            lines = [plain(word()) + "  " + plain(word()) for _ in range(rng.randrange(1, 3))]
+            markup += "<pre>" + "\n".join(lines).replace("&", "&amp;") + "</pre>"
+        else:
+            text, shown = inline()
+            markup += f"<h2>{text}</h2><div style='display:none'><p>{text}</div>"
+            lines = [shown]
+        markup += rng.choice(["", "\n", "<!---->"])
+        blocks.append("\n".join(lines))
+    return rng.choice(["", "<!doctype html><html><head><title>t</title><style>p{}</style></head><body>"]) + markup, "\n\n".join(blocks)
+
+
+def test_html_against_plain_text():
+    rng = random.Random(47)
+    for _ in range(600):
+        markup, text = random_page(rng)
+        assert html_text.extract(markup)[1] == text, markup
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a"), (None, None, None), (2, "u", ""), (2, "u", "")], "page_id bigint, url string, html string").withColumns({"text": F.lit("x"), "title": F.lit(3)})
     assert Counter(rows_of(html_text.extract_pages(pages), "page_id", "text")) == Counter({(1, "a"): 1, (None, ""): 1, (2, ""): 2})
+    big = "<table>" + "".join(f"<tr><td>row {k}<td>{k * 7}" for k in range(40_000)) + "</table>"
+    long = spark.createDataFrame([(7, "u", big), (8, "u", "<p>" + "x" * 2_000_000)], "page_id bigint, url string, html string").withColumn("page", F.lit("clash"))
+    texts = dict(rows_of(html_text.extract_pages(long), "page_id", "text"))
+    assert texts[7].split("\n")[123] == "row 123    861" and texts[7].count("\n") == 39_999 and texts[8] == "x" * 2_000_000
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 

@@ -4,8 +4,14 @@ A tree builder reads the markup leniently: implied html, head and body, optional
 table parts), implied tbody and tr, void elements, raw text, misnested and missing end tags. Elements deeper than
 ``DEPTH`` become siblings, as in browsers. A renderer then walks the tree and emits the visible text: blocks on
 lines of their own, paragraphs apart by a blank line, list items with markers and indents, preformatted text as it
-is, table cells in aligned columns. Scripts, styles, the head, ``hidden``, ``display: none`` and ``visibility: hidden``
-aren't visible.
+is, table cells in aligned columns. Text areas, options, ``xmp``, formulas and the text of drawings are shown; scripts,
+styles, the head, ``hidden``, ``display: none``, ``visibility: hidden``, inputs' values, titles within drawings and what
+stands in for media that browsers show (audio, video, object, canvas, frames, ``noscript``) aren't.
+
+Tables: cells are placed on the grid by their column and row spans (as far as the standard lets spans reach); a column
+is as wide as its widest line. Lines of cells are wrapped at blanks to ``WRAP`` characters where a row has several
+cells; a longer word is not broken, and what follows it in that line starts later. Columns in which no cell begins have
+no width.
 
 Both walks use explicit stacks, so that nesting and length are bounded by memory alone.
 
@@ -19,21 +25,26 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH, PAD = 512, 40
+from ._words import slices
+
+DEPTH, WRAP = 512, 72
+#: The most columns and rows that the HTML standard lets a cell span.
+COLUMNS, ROWS = 1000, 65534
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 TITLE_LIKE = frozenset("title textarea".split())
 HEAD_ONLY = frozenset("base link meta title style script template noscript".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes datalist textarea select audio video object canvas svg math".split())
-PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu pre blockquote figure table hr fieldset".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes datalist audio video object canvas title desc metadata defs".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu pre xmp blockquote figure table hr fieldset".split())
 BLOCKS = PARAGRAPHS | frozenset("html body address article aside center dd details dialog dir div dt figcaption footer form header hgroup legend li main nav optgroup option search section summary tr caption".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CELLS, SECTIONS = frozenset(("td", "th")), frozenset(("thead", "tbody", "tfoot"))
 SCOPE = frozenset("html table td th caption template button object".split())
 LISTS = frozenset("ul ol menu".split())
+VERBATIM = frozenset(("pre", "xmp", "textarea"))
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
@@ -186,8 +197,12 @@ class Builder:
                             self.counts["head"] = self.counts.get("head", 0) + 1
                             self.close(("head",), ())
                         else:
+                            if tag == "textarea":
+                                self.text(unescape(body.removeprefix("\n")))
                             self.close((tag,), SCOPE)
                     else:
+                        if tag == "xmp":
+                            self.text(body.removeprefix("\n"))
                         self.close((tag,), ())
                     close = html.find(">", end) if end >= 0 else -1
                     at = n if close < 0 else close + 1
@@ -246,18 +261,66 @@ class Flow:
             self.put("")
 
 
-def lay_out(rows: list[list[list[str]]]) -> list[str]:
-    """Rows of cells (lines) as lines with aligned columns. Cells wider than ``PAD`` don't widen a column."""
-    rows = [r for r in rows if any(r)]
-    widths = [0] * max(map(len, rows), default=0)
-    for row in rows:
-        for i, cell in enumerate(row):
-            widths[i] = max([widths[i], *(len(line) for line in cell if len(line) <= PAD)])
+def wrap(line: str) -> list[str]:
+    """The line in parts of at most ``WRAP`` characters, cut at blanks; longer words stay whole."""
     out = []
-    for row in rows:
-        for k in range(max(map(len, row))):
-            out.append("  ".join((cell[k] if k < len(cell) else "").ljust(w) for cell, w in zip(row, widths, strict=False)).rstrip(" "))
-    return out
+    while len(line) > WRAP:
+        cut = line.rfind(" ", 0, WRAP + 1)
+        cut = cut if cut > 0 and not line[:cut].isspace() else line.find(" ", WRAP)
+        if cut < 0:
+            break
+        out.append(line[:cut].rstrip(" "))
+        line = line[cut:].lstrip(" ")
+    return [*out, line]
+
+
+class Table:
+    """Cells on a grid: each row is a list of (column, lines)."""
+
+    def __init__(self):
+        self.rows: list[list[tuple[int, list[str]]]] = []
+        self.taken: list[tuple[int, int, int]] = []  # (first column, end, last row) of cells that reach further rows
+        self.above: list[tuple[int, int, int]] = []  # those that reach this row and aren't passed yet, last first
+        self.at = 0
+
+    def row(self) -> None:
+        self.taken = [t for t in self.taken if t[2] >= len(self.rows)]
+        self.above = sorted(self.taken, reverse=True)
+        self.rows.append([])
+        self.at = 0
+
+    def group(self) -> None:
+        """Cells don't reach beyond their row group."""
+        self.taken, self.above = [], []
+
+    def cell(self, lines: list[str], attrs: dict) -> None:
+        span = lambda name, most: min(int(v), most) if (v := attrs.get(name, "").strip()[:9]).isdecimal() and v.isascii() else 1
+        columns, rows = max(1, span("colspan", COLUMNS)), span("rowspan", ROWS) or ROWS
+        while self.above and self.above[-1][0] <= self.at:
+            self.at = max(self.at, self.above.pop()[1])
+        self.rows[-1].append((self.at, lines))
+        if rows > 1:
+            self.taken.append((self.at, self.at + columns, len(self.rows) + rows - 2))
+        self.at += columns
+
+    def lines(self) -> list[str]:
+        rows = [[(c, [part for line in cell for part in wrap(line)] if len(r) > 1 else cell) for c, cell in r] for r in self.rows if any(cell for _, cell in r)]
+        columns = sorted({c for r in rows for c, _ in r})
+        place = {c: k for k, c in enumerate(columns)}
+        widths = [0] * len(columns)
+        for r in rows:
+            for c, cell in r:
+                widths[place[c]] = max([widths[place[c]], *(len(line) for line in cell if len(line) <= WRAP or len(r) == 1 and len(columns) == 1)])
+        out = []
+        for r in rows:
+            by = {place[c]: cell for c, cell in r}
+            for k in range(max(len(cell) for _, cell in r)):
+                parts, last = [], max((i for i, cell in by.items() if k < len(cell) and cell[k]), default=-1)
+                for i in range(last + 1):
+                    cell = by.get(i, ())
+                    parts.append((cell[k] if k < len(cell) else "").ljust(widths[i] if i < last else 0))
+                out.append("  ".join(parts).rstrip(" "))
+        return out
 
 
 def hidden(node: Node) -> bool:
@@ -301,13 +364,15 @@ def render(root: Node) -> str:
                 flow.marker = mark
             elif tag in ("blockquote", "dd"):
                 flow.indents.append("  ")
-            elif tag == "pre":
+            elif tag in VERBATIM:
                 pre += 1
             elif tag == "table":
-                tables.append([])
+                tables.append(Table())
+            elif tag in SECTIONS and tables:
+                tables[-1].group()
             elif tag == "tr" and tables:
-                tables[-1].append([])
-            elif tag in CELLS and tables and tables[-1]:
+                tables[-1].row()
+            elif tag in CELLS and tables and tables[-1].rows:
                 flows.append((flow, lists, pre))
                 flow, lists, pre = Flow(), [], 0
             todo.append((node, False))
@@ -317,12 +382,10 @@ def render(root: Node) -> str:
             flow.flush()
             cell = flow.lines
             flow, lists, pre = flows.pop()
-            span = node.attrs.get("colspan", "1")
-            tables[-1][-1].append(cell)
-            tables[-1][-1].extend([[]] * (min(int(span), 100) - 1 if re.fullmatch(r"[1-9]\d{0,3}", span) else 0))
+            tables[-1].cell(cell, node.attrs)
         elif tag == "table":
             flow.flush()
-            for line in lay_out([[*r] for r in tables.pop()]):
+            for line in tables.pop().lines():
                 flow.put(line)
         elif tag in LISTS:
             flow.flush()
@@ -334,7 +397,7 @@ def render(root: Node) -> str:
         elif tag in ("blockquote", "dd"):
             flow.flush()
             flow.indents.pop()
-        elif tag == "pre":
+        elif tag in VERBATIM:
             pre -= 1
         if tag in BLOCKS:
             flow.block(1 if tag in PARAGRAPHS and not (tag in LISTS and lists) else 0)
@@ -352,7 +415,7 @@ def extract(html: str | None) -> tuple[str, str]:
 def extractor(batches):
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in slices(batches, "html"):
         rows = [extract(x) for x in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["page_id", "title", "text"])
 
