@@ -147,6 +147,44 @@ def test_ring_moves_few():
     assert sum(counts.values()) * 0.2 > moved
 
 
+def test_sharding_against_a_plain_ring(spark):
+    """Row by row: home shards take their rows in clockwise order while they have room, then what is left goes clockwise
+    from its arc to the next arc whose shard has room."""
+    shards = 6
+    df = spark.createDataFrame([(k if k % 9 else None, f"text {k % 400}") for k in range(3000)], "doc_id bigint, text string")
+    keyed = df.withColumn("spot", F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary")), (F.octet_length("text") + 8).cast("bigint")))
+    arcs = sharding.ring(shards)
+    limits = sharding.bounds(3000, shards)
+    waiting, used, home = [], Counter(), Counter()
+    rows = []
+    for r in keyed.select("doc_id", "text", "spot").collect():
+        cell = r["spot"] % sharding.CELLS
+        arc = next((k for k, (last, _) in enumerate(arcs) if last >= cell), 0)
+        rows.append((arc, r["spot"]))
+    placed = Counter()
+    for arc, spot in sorted(rows):
+        shard = arcs[arc][1]
+        home[shard] += 1
+        if used[shard] < limits[shard]:
+            used[shard] += 1
+            placed[spot, shard] += 1
+        else:
+            waiting.append((arc, spot))
+    queue, at = [], 0
+    for lap in range(2):
+        for k, (_, shard) in enumerate(arcs):
+            while lap == 0 and at < len(waiting) and waiting[at][0] == k:
+                queue.append(waiting[at])
+                at += 1
+            while queue and used[shard] < limits[shard]:
+                used[shard] += 1
+                placed[queue.pop(0)[1], shard] += 1
+    made = sharding.shard_rows(df, shards=shards)
+    got = Counter(rows_of(made.select(F.xxhash64("doc_id", "text_crc32", "size").alias("spot"), "shard"), "spot", "shard"))
+    assert got == placed and not queue
+    assert made.where("shard <> home_shard").count() == len(waiting)
+
+
 def test_one_more_shard_moves_few():
     """From 24 to 25 shards the least that must move is 1/25; some cells besides go between old shards."""
     def homes(shards):
@@ -378,9 +416,10 @@ def test_license_scan_base_places(spark, odd):
     rows = []
     for k in range(120):
         parts = [rng.choice([*phrases, "the", "license", "under", "cc by", "apache license version", "mit", "word", "MIT", "under the mit License", "version 2"]) for _ in range(rng.randrange(14))]
-        rows.append((k, rng.choice([" ", ", ", "\n", "--"]).join(parts)))
+        rows.append((1000 + k, rng.choice([" ", ", ", "\n", "--"]).join(parts)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r["doc_id"]: r for r in license_scan.scan_licenses(df).collect()}
+    rows += [(i, t) for i, t in rows_of(odd, "doc_id", "text") if i is not None and i != 11]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(df).unionByName(license_scan.scan_licenses(odd)).collect()}
     for i, t in rows:
         w = re.findall(WORDS, low(t))
         places, names = [], set()
@@ -728,6 +767,8 @@ def test_decontamination(spark, odd):
         assert (r["first_word"], r["last_word"], r["lcs_share"]) == (1, 40, 1.0)
     clean = decontaminate.drop_leaks(df, b)
     assert {r[0] for r in clean.select("doc_id").collect()} == {i for i, _ in rows} - {i for i, _ in got}
+    leaky = odd.unionByName(odd.where("doc_id = 20").withColumns({"doc_id": F.lit(999).cast("bigint"), "text": F.lit(rows[-1][1])}))
+    assert sorted(i or 0 for i, in rows_of(decontaminate.drop_leaks(leaky, b), "doc_id")) == sorted(i or 0 for i, in rows_of(odd, "doc_id"))
     assert decontaminate.drop_leaks(odd, b).count() == odd.count() and decontaminate.drop_leaks(odd, b).columns == odd.columns
     assert decontaminate.find_leaks(odd.limit(0), b).count() == 0 and decontaminate.find_leaks(df, b.limit(0)).count() == 0
 
@@ -840,13 +881,30 @@ def test_toxicity(spark, odd):
     right = sum(m["predicted"] == t for m, t in held) / len(held)
     assert right >= 0.97, right
     assert all(m["predicted"] == int(m["score"] >= 0.5) and 0 <= m["score"] <= 1 for m in made.values())
+    # scores word by word
+    weights, bias = toxicity.fit(df, lab)
+    hasher, begun = toxicity.hashers()
+    bits = toxicity.BITS
+    for k, t in rows[:60]:
+        words = {w for w in re.findall(WORDS, low(t))}
+        features = {int(hasher.words(w.encode())[2][0]) >> (65 - bits) for w in words} | {(1 << (bits - 1)) + (int(begun.words(w.encode())[2][0]) >> (65 - bits)) for w in words}
+        z = sum(float(weights[f]) for f in features) + bias
+        assert made[k]["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -40, 40))), abs=1e-9)
+    # a small sample: the bound holds in bytes, and no more rows than asked for are learnt from
+    weights, _ = toxicity.fit(df, lab, sample_bytes=2000)
+    assert np.isfinite(weights).all()
     # held-out labels don't matter
     flipped = lab.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert {r["doc_id"]: r["score"] for r in toxicity.toxicity(df, flipped).collect()} == {k: m["score"] for k, m in made.items()}
     assert toxicity.toxicity(odd, lab).count() == odd.count() and toxicity.toxicity(odd.limit(0), lab).count() == 0
     assert {r["predicted"] for r in toxicity.toxicity(df, lab.limit(0)).collect()} == {0}
     kept = toxicity.drop_toxic(odd, lab)
-    assert kept.columns == odd.columns
+    scores = {(r["doc_id"], r["score"]) for r in toxicity.toxicity(odd, lab).collect()}
+    assert kept.columns == odd.columns and kept.count() == sum(r["predicted"] == 0 for r in toxicity.toxicity(odd, lab).collect())
+    by = defaultdict(set)
+    for i, s in scores:
+        by[i].add(s)
+    assert by[1] == by[2] == by[3] and by[7] == by[8] and by[4] == by[5] == by[9] and len(by[4]) == 1  # equal words, equal scores; no words, the bias
 
 
 def test_nnpu_risk_is_not_negative():

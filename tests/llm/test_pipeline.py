@@ -1,5 +1,7 @@
 """The pipeline: stages in order, each against its own input, on the smallest tables and on odd rows."""
 
+import re
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -34,6 +36,66 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, DATA).count() == five.count()
 
 
+def shingles(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c < "\x80" else c for c in text or ""))
+    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} if words else set()
+
+
+def test_stages_against_brute_force(spark):
+    """Each stage's rows by plain Python over all pairs, without the operators."""
+    steps = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    items = [r["text"].lower() for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    sets, root = {i: shingles(t) for i, t in rows.items()}, {i: i for i in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in rows:
+        for b in rows:
+            both = len(sets[a] & sets[b]) if a < b else 0
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    two = steps["near_dedup"](spark, docs, DATA)
+    assert ids(two) == {i for i in rows if find(i) == i}
+    three = {r["doc_id"]: r["text"] for r in steps["decontamination"](spark, two, DATA).collect()}
+    plain = lambda t: " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())) + " "
+    holds = lambda t: any(plain(x) in plain(t) for x in items)
+    assert not any(holds(t) for t in three.values())
+    gone = ids(two) - set(three)
+    assert {i for i in ids(two) if holds(rows[i])} <= gone and len(gone) <= 2 + sum(holds(rows[i]) for i in ids(two))
+    four = steps["mixing"](spark, two, DATA)
+    before, after, names = Counter(), Counter(), {}
+    for r in two.collect():
+        before[r["source"]] += words(r["text"])
+        names[r["doc_id"]] = r["source"]
+    times = Counter(r["doc_id"] for r in four.collect())
+    for i, n in times.items():
+        after[names[i]] += n * words(rows[i])
+    assert max(times.values()) <= 3
+    order = sorted((s for s in before if s is not None), key=lambda s: s.encode()) + [None] * (None in before)
+    weight, total = {s: k % 3 + 1 for k, s in enumerate(order)}, sum(before.values())
+    full: set = set()
+    while True:
+        left, free = total - sum(3 * before[s] for s in full), sum(weight[s] for s in order if s not in full)
+        want = {s: 3 * before[s] if s in full else left * weight[s] / free for s in order}
+        more = {s for s in order if want[s] > 3 * before[s] and s not in full}
+        if not more:
+            break
+        full |= more
+    most = {s: max(words(rows[i]) for i in names if names[i] == s) for s in order}
+    assert all(abs(after[s] - want[s]) <= most[s] / 2 + 0.01 * want[s] + 60 for s in order)
+    five = steps["sharding"](spark, four, DATA).collect()
+    counts = Counter(r["shard"] for r in five)
+    assert len(five) == sum(times.values()) and Counter(r["doc_id"] for r in five) == times
+    assert max(counts.values()) - min(counts.get(k, 0) for k in range(24)) <= 1
+
+
 def test_stages_on_empty_and_odd_tables(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = [(None, None, None, None, None), (1, None, "en", None, 0), (1, None, "en", None, 0), (2, "", None, "a", None), (3, "x" * 200_000, "en", "a", 1)]

@@ -6,11 +6,12 @@ The risk is prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic l
 negative its gradient is reversed. The class prior is the share of label 1 among the training rows' labels.
 Rows with crc32(id as text) mod 5 = 0 take no part in training.
 
-``MIN_Z``, ``EPOCHS`` and ``DECAY`` have the fewest errors on the training rows with remainder 1 when fitted on those
-with remainders 2 to 4; the rows with remainder 0 have no part in that choice.
+Features, ``MIN_Z``, ``EPOCHS`` and ``DECAY`` have the fewest errors on the training rows with remainder 1 when fitted on
+those with remainders 2 to 4; the rows with remainder 0 have no part in that choice.
 
-Sample bound (documented): about ``positives`` toxic and ``unlabelled`` other rows, picked by a hash of the id, are
-sent to the driver as lists of hashed words; whole texts are used. Scores are computed for every whole text.
+Sample bound (documented): about ``positives`` toxic and ``unlabelled`` other rows, and about ``sample_bytes`` of text on
+either side, picked by a hash of the id, are sent to the driver as lists of hashed words; whole texts are used. Scores are
+computed for every whole text.
 
 Defined cases: a null or empty text has the score of the bias alone; repeated labels of an id count once
 (the largest); without a toxic training row every score is the prior (0 if there are no labels); null ids are
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from ._words import ALNUM, WordHasher, slices, texts_of
 
 BITS, POSITIVES, UNLABELLED, PREFIX = 18, 4000, 12000, 4
+SAMPLE_BYTES = 64 << 20
 EPOCHS, RATE, DECAY, MIN_DOCS, MIN_Z = 300, 0.05, 2e-4, 3, 3.0
 
 
@@ -127,7 +129,7 @@ def scorer(model, bits: int):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, bits: int = BITS):
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, sample_bytes: int = SAMPLE_BYTES, bits: int = BITS):
     """(weights, bias) learnt from the training folds."""
     labels = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, ones = labels.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("bigint")), F.lit(0))).first()
@@ -135,11 +137,18 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
         return np.zeros(1 << bits, dtype=np.float32), -40.0
     prior = min(max(ones / n, 1e-3), 1 - 1e-3)
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    total = rows.count()
-    part = lambda col, most, of: F.pmod(F.xxhash64(col, F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(1, of)))
-    toxic = labels.where((F.col("toxic") == 1) & part("doc_id", positives, ones)).select("doc_id")
-    picked = rows.join(F.broadcast(toxic), "doc_id", "left_semi").withColumn("toxic", F.lit(1))  # about ``positives`` ids
-    picked = picked.unionByName(rows.where(part("doc_id", unlabelled, total)).withColumn("toxic", F.lit(0)))
+    toxic = labels.where("toxic = 1").select("doc_id", F.lit(True).alias("found"))
+    sized = rows.select("doc_id", F.octet_length("text").alias("size")).join(toxic, "doc_id", "left").groupBy("found")
+    sizes = {r["found"]: (r["n"], r["bytes"] or 0) for r in sized.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()}  # two rows
+    both = tuple(map(sum, zip(*sizes.values(), strict=True))) if sizes else (0, 0)
+
+    def part(most: int, n: int, size: int):
+        share = min(1.0, most / max(1, n), sample_bytes / max(1, size))
+        return F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * share)
+
+    own = toxic.where(part(positives, *sizes.get(True, (0, 0)))).select("doc_id")  # about ``positives`` of them have a row
+    picked = rows.join(own, "doc_id", "left_semi").withColumn("toxic", F.lit(1))
+    picked = picked.unionByName(rows.where(part(unlabelled, *both)).withColumn("toxic", F.lit(0)))
     table = picked.select("toxic", F.xxhash64("doc_id", "text").alias("mark"), "text").mapInArrow(featurizer(bits), "toxic int, mark bigint, features binary").toArrow().sort_by([("mark", "ascending"), ("toxic", "ascending")])
     flag = table.column("toxic").to_numpy()
     if len(set(flag.tolist())) < 2:
@@ -168,7 +177,7 @@ def clean_filter(model, bits: int, text_col: str):
     def run(batches):
         hasher = hashers()
         weights, bias = model.value
-        for batch in slices(batches):
+        for batch in slices(batches, text_col):
             out = [sums(weights[f].astype(np.float64), e) + bias for f, e in document_features(texts_of(batch, text_col), hasher, bits)]
             yield batch.filter(pa.array(np.concatenate([*out, np.zeros(0)]) < 0, pa.bool_()))
 
