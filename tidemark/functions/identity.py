@@ -52,6 +52,16 @@ def frame_digest(df: DataFrame) -> str:
     return record_hash({"schema": [[c, kinds[c]] for c in columns], "rows": n, "sums": [str(a), str(b)]})
 
 
+def grouped_digests(df: DataFrame, by: str, drop: tuple[str, ...] = ()) -> dict:
+    """(rows, ``frame_digest``) of each group's rows, in one job; groups are few."""
+    columns = sorted(c for c in df.columns if c not in drop)
+    part = lambda at: F.sum(F.conv(F.substring("h", at, 14), 16, 10).cast("decimal(38,0)"))
+    found = df.select(F.col(by).alias("g"), row_hash(df, columns).alias("h")).groupBy("g").agg(F.count(F.lit(1)).alias("n"), part(1).alias("a"), part(20).alias("b"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = [[c, kinds[c]] for c in columns]
+    return {r["g"]: (r["n"], record_hash({"schema": schema, "rows": r["n"], "sums": [str(r["a"]), str(r["b"])]})) for r in found.collect()}
+
+
 def record_hash(value) -> str:
     """Stable hash of a JSON value (H3, H5)."""
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
