@@ -14,6 +14,7 @@ from tidemark.operators import align, explore, quality
 from tidemark.operators import transforms as X
 from tidemark.operators import versions as V
 from tidemark.plans import panels as P
+from tidemark.plans import stored
 from tidemark.plans.build import pointwise_versions
 
 QUERIES: dict[str, Callable] = {}
@@ -254,13 +255,13 @@ def overlaid(spark, d):
     return V.read_versions(both, P.KEYS, view="latest", strict=True).select(*VER, "_attestation_id")
 
 
-_ITEMS = "SELECT source_time AS time, asset_id, value, time AS version_available_date, _commit_seq FROM (SELECT *, row_number() OVER (PARTITION BY source_time, asset_id, time, _commit_seq ORDER BY value IS NULL, o_orderkey DESC) AS rn FROM ver WHERE o_orderkey % 3 = 0) WHERE rn = 1"
+_ITEMS = "SELECT source_time AS time, asset_id, value, time AS version_available_date, _commit_seq FROM (SELECT *, row_number() OVER (PARTITION BY source_time, asset_id, time, _commit_seq ORDER BY value IS NULL, o_orderkey DESC) AS rn FROM ver) WHERE rn = 1"
 _IPICK = "QUALIFY row_number() OVER (PARTITION BY time, asset_id ORDER BY version_available_date DESC, _commit_seq DESC) = 1"
 
 
 def _items(spark, d):
     """One value per (day, customer, availability, commit): of the largest order, values before nulls."""
-    o = P.versions(spark, d).where("o_orderkey % 3 = 0").groupBy("source_time", "asset_id", "time", "_commit_seq").agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("o_orderkey"))).alias("value"))
+    o = P.versions(spark, d).groupBy("source_time", "asset_id", "time", "_commit_seq").agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("o_orderkey"))).alias("value"))
     return o.select(F.col("source_time").alias("time"), "asset_id", "value", F.col("time").alias("version_available_date"), "_commit_seq")
 
 
@@ -321,7 +322,7 @@ def exact(spark, d):
 
 for n in (1, 2, 5):
     QUERIES[f"T5_align_fill_{n}"] = lambda spark, d, n=n: align.align_panel(P.order_events(spark, d), P.order_grid(spark, d), forward_fill_sessions=n).select("time", "asset_id", "value", "available_date")
-    ORACLES[f"T5_align_fill_{n}"] = P.with_tables(["oev", "ogrid"], f", e AS (SELECT asset_id, available_date AS eff, value, available_date FROM oev WHERE available_date <= (SELECT max(session) FROM ses)), m AS (SELECT e.*, s.idx AS ei FROM e ASOF JOIN ses s ON e.eff <= s.session) SELECT g.time, g.asset_id, CASE WHEN g.idx - m.ei < {n} THEN m.value END AS value, CASE WHEN g.idx - m.ei < {n} THEN m.available_date END AS available_date FROM ogrid g ASOF LEFT JOIN m ON g.asset_id = m.asset_id AND g.time >= m.eff")
+    ORACLES[f"T5_align_fill_{n}"] = P.with_tables(["oev", "ogrid"], f", e AS (SELECT asset_id, available_date AS eff, value, available_date FROM oev WHERE available_date <= (SELECT max(session) FROM mses)), m AS (SELECT e.*, s.idx AS ei FROM e ASOF JOIN mses s ON e.eff <= s.session) SELECT g.time, g.asset_id, CASE WHEN g.idx - m.ei < {n} THEN m.value END AS value, CASE WHEN g.idx - m.ei < {n} THEN m.available_date END AS available_date FROM ogrid g ASOF LEFT JOIN m ON g.asset_id = m.asset_id AND g.time >= m.eff")
 
 _POLICY = dict(observation_date_field="time", base_available_date_field="available_date", calendar_id="x/cal")
 for buffer in (0, 1, 3):
@@ -377,3 +378,7 @@ def bounded(spark, d):
 @query("Q5_health", "SELECT strftime(time, '%Y-%m') AS month, CAST(sum(n) AS BIGINT) AS row_count, CAST(0 AS BIGINT) AS null_key_rows, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS duplicate_keys FROM (SELECT any_value(time) AS time, count(*) AS n FROM ver GROUP BY strftime(time, '%Y-%m'), source_time, asset_id) GROUP BY 1", "ver")
 def healthy(spark, d):
     return quality.health(P.versions(spark, d), ["source_time", "asset_id"])
+
+
+QUERIES.update(stored.QUERIES)
+ORACLES.update(stored.ORACLES)

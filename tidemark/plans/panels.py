@@ -41,11 +41,11 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of the panel x the 50 lowest users."""
+    """Days of the panel x all users: the grid itself."""
     p = table(spark, sf_dir, "events")
     days = p.select(F.col("ts").cast("date").alias("time")).distinct()
-    users = p.select("user_id").distinct().orderBy("user_id").limit(50).select(F.col("user_id").cast("string").alias("asset_id"))
-    return days.crossJoin(F.broadcast(users))  # 50 rows: the grid itself
+    users = p.select(F.col("user_id").cast("string").alias("asset_id")).distinct()
+    return users.crossJoin(F.broadcast(days))  # days: bounded by history
 
 
 def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +55,10 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open days x the 50 lowest customers."""
-    users = table(spark, sf_dir, "customer").select("c_custkey").orderBy("c_custkey").limit(50).select(F.col("c_custkey").cast("string").alias("asset_id"))
-    return calendar(spark, sf_dir).where("is_open = 1").select("time").crossJoin(F.broadcast(users))  # 50 rows
+    """Each month's last open day x all customers: the grid itself."""
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("asset_id"))
+    days = calendar(spark, sf_dir).where("is_open = 1").groupBy(F.trunc("time", "month")).agg(F.max("time").alias("time")).select("time")
+    return users.crossJoin(F.broadcast(days))  # days: bounded by history
 
 
 #: The same tables as SQL.
@@ -69,11 +70,12 @@ SQL = {
     "cal": "SELECT DISTINCT CAST(o_orderdate AS DATE) AS time, CASE WHEN dayofweek(CAST(o_orderdate AS DATE)) IN (0, 6) THEN 0 ELSE 1 END AS is_open FROM orders",
     "ses": "SELECT time AS session, CAST(row_number() OVER (ORDER BY time) - 1 AS INTEGER) AS idx FROM cal WHERE is_open = 1",
     "panel": "SELECT time, asset_id, value FROM (SELECT CAST(ts AS DATE) AS time, CAST(user_id AS VARCHAR) AS asset_id, value, row_number() OVER (PARTITION BY CAST(ts AS DATE), user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
-    "pgrid": "SELECT d.time, CAST(u.user_id AS VARCHAR) AS asset_id FROM (SELECT DISTINCT CAST(ts AS DATE) AS time FROM events) d CROSS JOIN (SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 50) u",
+    "pgrid": "SELECT d.time, CAST(u.user_id AS VARCHAR) AS asset_id FROM (SELECT DISTINCT CAST(ts AS DATE) AS time FROM events) d CROSS JOIN (SELECT DISTINCT user_id FROM events) u",
     "oev": "SELECT time, asset_id, value, CAST(time + INTERVAL 3 DAY AS DATE) AS available_date FROM (SELECT source_time AS time, asset_id, value, row_number() OVER (PARTITION BY source_time, asset_id ORDER BY o_orderkey DESC) AS rn FROM obs) WHERE rn = 1",
-    "ogrid": "SELECT s.session AS time, CAST(c.c_custkey AS VARCHAR) AS asset_id, s.idx FROM ses s CROSS JOIN (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 50) c",
+    "mses": "SELECT session, CAST(row_number() OVER (ORDER BY session) - 1 AS INTEGER) AS idx FROM (SELECT max(session) AS session FROM ses GROUP BY date_trunc('month', session))",
+    "ogrid": "SELECT s.session AS time, CAST(c.c_custkey AS VARCHAR) AS asset_id, s.idx FROM mses s CROSS JOIN customer c",
 }
-NEEDS = {"ver": ["obs"], "ses": ["cal"], "oev": ["obs"], "ogrid": ["cal", "ses"]}
+NEEDS = {"ver": ["obs"], "ses": ["cal"], "oev": ["obs"], "mses": ["cal", "ses"], "ogrid": ["cal", "ses", "mses"]}
 
 
 def with_tables(names: list[str], sql: str) -> str:
