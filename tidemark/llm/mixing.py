@@ -35,7 +35,7 @@ from ._runtime import materialize
 
 MAX_REPEAT, SEED, FINE, SHARDS = 3, 20, 1000, 24
 #: Words of a hash bucket, and the least number of buckets.
-BUCKET_WORDS, LEAST_BUCKETS = 1 << 21, 32
+BUCKET_WORDS, LEAST_BUCKETS = 1 << 21, 512
 #: Shares are whole numbers of 1 / UNIT, so that their sums are exact; size classes are 1 / CLASSES of an octave.
 UNIT, CLASSES = 1 << 24, 16
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -109,13 +109,14 @@ def _taken(rows: DataFrame, narrow: DataFrame, seed: int, shards: int, max_repea
     sizes = totals.groupBy(F.col("__source").alias("source")).agg(F.sum("words").alias("source_size"))
     quotas = materialize(seat_quotas(source_targets(sizes, max_repeat), fine, max_repeat, block).select("source", "source_size", "target", "block", "blocks", "seats"), "mix-quotas")
     dealt = shard_quotas(quotas, shards, seed).groupBy(F.col("source").alias("dealt")).agg(F.max("full").alias("full"), F.sort_array(F.collect_list(F.struct("shard", "first", "own_blocks", "before", "extra", "phase"))).alias("runs"))  # shards per source
-    quotas = quotas.join(dealt, F.col("source").eqNullSafe(F.col("dealt"))).withColumnRenamed("source", "of").drop("dealt", "seats")
+    quotas = quotas.join(dealt, F.col("source").eqNullSafe(F.col("dealt")))
+    quotas = quotas.select(*(F.col(c).alias(f"__{c}") for c in ("source_size", "target", "block", "blocks", "full", "runs")), F.col("source").alias("__whose"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.withColumn("bucket_start", before).join(quotas, F.col("__source").eqNullSafe(F.col("of")))
-    starts = starts.select(*(F.col(c).alias(f"__{a}") for c, a in (("__source", "of"), ("__bucket", "of_bucket"), *((c, c) for c in ("bucket_start", "source_size", "target", "block", "blocks", "full", "runs")))))
+    starts = totals.select(F.col("__source").alias("__of"), F.col("__bucket").alias("__of_bucket"), before.alias("__bucket_start"))
     order = Window.partitionBy("__source", "__bucket").orderBy("__id", "__mark", "__size")
     placed = rows.withColumn("__within", F.coalesce(F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = placed.join(materialize(starts, "mix-starts"), F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__bucket") == F.col("__of_bucket")))
+    placed = placed.join(materialize(quotas, "mix-sources"), F.col("__source").eqNullSafe(F.col("__whose")))
     start = F.col("__bucket_start") + F.col("__within")
     placed = placed.withColumns({"__from": _extra_words(start, shards), "__to": _extra_words(start + F.col("__size"), shards)})
     return placed.withColumn("__taken", F.when(F.col("__size") > 0, F.col("__size") * F.col("__full") + F.col("__to") - F.col("__from")).otherwise(F.lit(0)).cast("bigint"))
