@@ -77,20 +77,26 @@ def health(df: DataFrame, keys: list[str], available: str = "time") -> DataFrame
 
 
 def merge_days(intervals: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
-    """Inclusive day intervals merged where they overlap or touch (T11): gaps and islands."""
-    w = Window.partitionBy(F.lit(0)).orderBy(start, end)
+    """Inclusive day intervals merged where they overlap or touch (T11): gaps and islands. Intervals of one first day are
+    one interval before that, so that the single ordered pass is over days, however many intervals there are."""
+    intervals = intervals.groupBy(start).agg(F.max(end).alias(end))
+    w = Window.partitionBy(F.lit(0)).orderBy(start)
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     opens = (before.isNull() | (F.col(start) > F.date_add(before, 1))).cast("int")
     return intervals.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(w)).groupBy("_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
 def changed_intervals(old: DataFrame, new: DataFrame, columns: list[str], begin: str, until: str, first: date, last: date) -> DataFrame:
-    """Days on which the members of half-open intervals differ between two snapshots: (start, end), merged.
-    Distinct changed intervals are reduced before the merge."""
+    """Days on which the members of half-open intervals differ between two snapshots: (start, end), merged (T11). A null
+    ``until`` is open; any other date of a changed row that can't be read is refused, here, before anything is merged."""
     diff = multiset_diff(old, new, columns)
-    start = F.greatest(F.coalesce(key_date(F.col(begin)), F.lit(first)), F.lit(first))
-    end = F.least(F.coalesce(F.date_sub(key_date(F.col(until)), 1), F.lit(last)), F.lit(last))
-    return merge_days(diff.select(start.alias("start"), end.alias("end")).where(F.col("start") <= F.col("end")).distinct())
+    start, stop = key_date(F.col(begin)), key_date(F.col(until))
+    unread = diff.where(start.isNull() | (stop.isNull() & F.col(until).isNotNull())).first()
+    if unread is not None:
+        raise ValueError(f"a changed row has no readable interval: {begin}={unread[begin]!r}, {until}={unread[until]!r}")
+    start = F.greatest(start, F.lit(first))
+    end = F.least(F.coalesce(F.date_sub(stop, 1), F.lit(last)), F.lit(last))
+    return merge_days(diff.select(start.alias("start"), end.alias("end")).where(F.col("start") <= F.col("end")))
 
 
 def added_keys(old: DataFrame, new: DataFrame, key: str = "asset_id") -> DataFrame | None:

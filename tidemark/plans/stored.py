@@ -253,7 +253,7 @@ def panel_lake(spark: SparkSession, d: str):
     lake.raw.ingest(DAILY, rows.where("user % 3 = 0").withColumn("close", -F.col("close")), ingested_at=at(2099, 1, 1))
     lake.items.register(CLOSE)
     lake.items.build("close", start=FIRST, end=LAST)
-    lake.items.register_producer("twice", "1", lambda c: c.read("daily").where("close > 20").select(F.col("source_time").alias("time"), "asset_id", (F.col("close") * 2).alias("value")), UpdatePolicy())
+    lake.items.register_producer("twice", "1", lambda c: c.read("daily").where("close > 20").select(F.col("source_time").alias("time"), "asset_id", (F.col("close") * 2).alias("value")), UpdatePolicy("same_date"))
     lake.items.register(MADE)
     lake.items.build("made", start=FIRST, end=LAST)
     lake.items.register(ItemSpec("kept"))

@@ -16,7 +16,7 @@ from uuid import uuid4
 TABLES = """
 CREATE TABLE IF NOT EXISTS state(key TEXT PRIMARY KEY, value TEXT);
 CREATE TABLE IF NOT EXISTS datasets(source TEXT, name TEXT, kind TEXT, spec TEXT, spec_hash TEXT, active INT DEFAULT 1, enabled INT DEFAULT 1, PRIMARY KEY(source, name));
-CREATE TABLE IF NOT EXISTS commits(seq INTEGER PRIMARY KEY AUTOINCREMENT, source TEXT, dataset TEXT, run_id TEXT, ingested_at TEXT, pit_date TEXT, mode TEXT, status TEXT, spec_hash TEXT, baseline INT, row_count INT, schema TEXT, path TEXT, digest TEXT, requests TEXT, receipt TEXT);
+CREATE TABLE IF NOT EXISTS commits(seq INTEGER PRIMARY KEY AUTOINCREMENT, source TEXT, dataset TEXT, run_id TEXT, ingested_at TEXT, pit_date TEXT, mode TEXT, status TEXT, spec_hash TEXT, baseline INT, row_count INT, schema TEXT, path TEXT, digest TEXT, requests TEXT, receipt TEXT, changes TEXT);
 CREATE TABLE IF NOT EXISTS segments(seq INT, month TEXT, path TEXT, row_count INT, min_obs TEXT, max_obs TEXT, min_avail TEXT, max_avail TEXT, max_delay INT);
 CREATE TABLE IF NOT EXISTS checks(id INTEGER PRIMARY KEY AUTOINCREMENT, source TEXT, dataset TEXT, run_id TEXT, checked_at TEXT, pit_date TEXT, baseline INT, visible_commit INT, row_count INT, path TEXT, min_obs TEXT, max_obs TEXT, receipt TEXT, schema TEXT);
 CREATE TABLE IF NOT EXISTS leases(source TEXT, dataset TEXT, owner TEXT, started_at TEXT, expires_at TEXT, PRIMARY KEY(source, dataset));
@@ -86,6 +86,8 @@ class Metadata:
                 "segments": get("SELECT s.* FROM segments s JOIN commits c ON c.seq = s.seq WHERE c.source=? AND c.dataset=? AND c.status='committed'"),
             }
             db.execute("COMMIT")
+        for c in out["commits"]:
+            c["changes"] = json.loads(c["changes"]) if c["changes"] else None
         return out
 
     @contextmanager
