@@ -38,7 +38,7 @@ class Filter:
             "in": lambda: c.isin(list(self.value)), "is_null": c.isNull, "is_not_null": c.isNotNull,
         }
         if self.operator not in tests:
-            raise ValueError(f"Unsupported filter operator: {self.operator}")
+            raise ValueError(f"{self.operator!r} is no comparison that a filter knows")
         return df.where(tests[self.operator]())
 
 
@@ -111,11 +111,11 @@ def has_duplicates(df: DataFrame, keys: list[str]) -> bool:
 def join_frames(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", validate: str = "1:1", suffix: str = "_right") -> DataFrame:
     """Equi-join on explicit keys; key columns coalesce, nulls never match, other common names get the suffix."""
     if not on:
-        raise ValueError("Join requires explicit keys")
+        raise ValueError("a join says on which keys")
     if how not in HOW:
-        raise ValueError(f"Unsupported join mode: {how}")
+        raise ValueError(f"{how!r} is no kind of join")
     if validate not in ("1:1", "1:m", "m:1", "m:m"):
-        raise ValueError(f"Unsupported join validation: {validate}")
+        raise ValueError(f"{validate!r} is no cardinality: 1:1, 1:m, m:1 or m:m")
     if how not in ("semi", "anti"):
         for side, df, need in (("left", left, validate[0]), ("right", right, validate[2])):
             if need == "1" and has_duplicates(df, on):
@@ -165,7 +165,7 @@ def from_json(value: dict):
     fields = dict(value)
     kind = fields.pop("kind")
     if kind not in KINDS:
-        raise ValueError(f"Unknown transform: {kind}")
+        raise ValueError(f"there is no transform {kind!r}")
     if kind == "Filter":
         fields["value"] = _decode(fields.get("value"))
     if kind == "MapValues":

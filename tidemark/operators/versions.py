@@ -66,9 +66,9 @@ def read_versions(
     ``versions``; the default is latest with as_of and history without."""
     view = view or ("latest" if as_of is not None else "history")
     if view not in ("latest", "history", "versions"):
-        raise ValueError("view must be latest, versions, or history")
+        raise ValueError(f"dated data has the views latest, history and versions, not {view!r}")
     if ingested_before is not None and ingested_before.tzinfo is None:
-        raise ValueError("ingested_before must be timezone-aware")
+        raise ValueError("ingested_before needs a time zone")
     df = versions
     if strict:
         df = df.where(~F.coalesce(F.col("_baseline"), F.lit(False)))
@@ -106,7 +106,7 @@ def observations(versions: DataFrame) -> DataFrame:
 def select_versions(items: DataFrame, *, as_of: date | str | None = None, history: bool = False) -> DataFrame:
     """Item values as known at a date, or at each row's own date (V4)."""
     if not history and as_of is None:
-        raise ValueError("A DataItem snapshot requires an explicit as_of date")
+        raise ValueError("a snapshot of an item is of a date: give as_of")
     cutoff = F.col("time") if history else F.lit(as_date(as_of))
     visible = items.where(F.col("version_available_date") <= cutoff)
     return keep_last(visible, ["time", "asset_id"], ["version_available_date", "ingested_at", "_commit_seq"])

@@ -17,7 +17,10 @@ from tidemark.functions.identity import comparable, rows_not_in, withdrawn
 from tidemark.functions.types import union_relaxed
 from tidemark.operators.transforms import has_duplicates
 from tidemark.operators.versions import input_snapshot, keep_last
+from tidemark.sources.shared import keep_written
 
+#: Boundaries whose rows are written together.
+GROUP = 16
 IDENTITY = ("time", "asset_id", "value", "observation_date", "available_date", "_build_baseline")
 
 
@@ -59,8 +62,8 @@ def revision_dates(frames: Sequence[DataFrame], start: date, end: date) -> list[
     return sorted(found)
 
 
-def computed_versions(raw: dict[str, DataFrame], items: dict[str, DataFrame], start: date, end: date, evaluate: Callable[[dict, dict], DataFrame], *, extra_boundaries: Sequence[date] = (), keys: dict[str, list[str]] | None = None):
-    """Yields (boundary, changed rows) in order: what the evaluation newly says, and nulls for keys that it lost."""
+def _boundaries(raw: dict[str, DataFrame], items: dict[str, DataFrame], start: date, end: date, evaluate: Callable[[dict, dict], DataFrame], *, extra_boundaries: Sequence[date] = (), keys: dict[str, list[str]] | None = None):
+    """(boundary, changed rows, whole evaluation): the changed rows need the evaluation, and the one before it, cached."""
     if end < start:
         raise ValueError("end precedes start")
     days = sorted({*revision_dates([*raw.values(), *items.values()], start, end), *(d for d in extra_boundaries if start < d <= end)})
@@ -68,10 +71,11 @@ def computed_versions(raw: dict[str, DataFrame], items: dict[str, DataFrame], st
     for at, following in zip([None, *days], [*days, None], strict=True):
         cutoff = following - timedelta(days=1) if following else end
         frame = evaluate({k: input_snapshot(v, cutoff, (keys or {}).get(k)) for k, v in raw.items()}, {k: input_snapshot(v, cutoff) for k, v in items.items()})
-        if has_duplicates(frame, ["time", "asset_id"]):
-            raise ValueError("DataItem producer output has duplicate time-asset keys")
         stamps: list[Column] = [F.col("time"), F.col("available_date") if "available_date" in frame.columns else F.col("time"), F.lit(at) if at else F.col("time")]
         frame = frame.withColumn("version_available_date", F.greatest(*stamps)).persist()
+        if has_duplicates(frame, ["time", "asset_id"]):
+            frame.unpersist()
+            raise ValueError(f"the producer gives an asset two values on one day, as known at {cutoff}")
         changed = frame
         if previous is not None:
             identity = [c for c in IDENTITY if c in previous.columns]
@@ -80,11 +84,52 @@ def computed_versions(raw: dict[str, DataFrame], items: dict[str, DataFrame], st
             lost = lost.withColumns({"value": F.lit(None).cast(previous.schema["value"].dataType), "version_available_date": F.greatest(F.col("time"), F.lit(at))})
             changed = union_relaxed(changed, lost)
         previous = frame
-        yield at, changed.where(F.col("time").between(F.lit(start), F.lit(end)) & (F.col("version_available_date") <= F.lit(end)))
+        yield at, changed.where(F.col("time").between(F.lit(start), F.lit(end)) & (F.col("version_available_date") <= F.lit(end))), frame
+
+
+def computed_versions(raw: dict[str, DataFrame], items: dict[str, DataFrame], start: date, end: date, evaluate: Callable[[dict, dict], DataFrame], **options):
+    """Yields (boundary, changed rows) in order: what the evaluation newly says, and nulls for keys that it lost. Rows are
+    to be used before the next but one is asked for: an evaluation is released once it isn't needed."""
+    held: list[DataFrame] = []
+    try:
+        for at, changed, frame in _boundaries(raw, items, start, end, evaluate, **options):
+            held.append(frame)
+            yield at, changed
+            for old in held[:-2]:
+                old.unpersist()
+            held = held[-2:]
+    finally:
+        for frame in held:
+            frame.unpersist()
+
+
+def compute_versions(raw: dict[str, DataFrame], items: dict[str, DataFrame], start: date, end: date, evaluate: Callable[[dict, dict], DataFrame], group: int = GROUP, **options) -> DataFrame:
+    """All causal versions in one frame; of those with one key and date the later boundary's stays (V13). Boundaries are
+    evaluated ``group`` at a time; each group's rows are written and its evaluations released, so that neither the plan nor
+    the cache grows with the number of boundaries."""
+    written: list[DataFrame] = []
+    parts: list[DataFrame] = []
+    held: list[DataFrame] = []
 
+    def write() -> None:
+        nonlocal held
+        rows = reduce(union_relaxed, parts)
+        written.append(keep_written(rows, "versions"))
+        parts.clear()
+        for old in held[:-1]:  # the last is what the next boundary is compared with
+            old.unpersist()
+        held = held[-1:]
 
-def compute_versions(raw: dict[str, DataFrame], items: dict[str, DataFrame], start: date, end: date, evaluate: Callable[[dict, dict], DataFrame], **options) -> DataFrame:
-    """All causal versions in one frame; of those with one key and date the later boundary's stays."""
-    parts = [df.withColumn("_boundary", F.lit(i)) for i, (_, df) in enumerate(computed_versions(raw, items, start, end, evaluate, **options))]
-    every = reduce(lambda a, b: union_relaxed(a, b), parts)
+    try:
+        for i, (_, changed, frame) in enumerate(_boundaries(raw, items, start, end, evaluate, **options)):
+            held.append(frame)
+            parts.append(changed.withColumn("_boundary", F.lit(i)))
+            if len(parts) >= group:
+                write()
+        if parts:
+            write()
+    finally:
+        for frame in held:
+            frame.unpersist()
+    every = reduce(union_relaxed, written)
     return keep_last(every, ["time", "asset_id", "version_available_date"], ["_boundary"]).drop("_boundary")

@@ -7,7 +7,7 @@ import tempfile
 from pathlib import Path
 from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.sources.files import Files
 
@@ -26,6 +26,15 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def keep_written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the shared folder, which ends its lineage; it goes when the program ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tidemark-{name}-{uuid4().hex}"
+    _made.append((spark, path, None))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def scratch_lake(spark: SparkSession):
     """A new lake in the shared folder, its metadata in a file of the driver; both go when the program ends."""
     from tidemark.lake import Lake
