@@ -146,7 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
         share = min(1.0, most / max(1, n), sample_bytes / max(1, size))
         return F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * share)
 
-    own = toxic.where(part(positives, *sizes.get(True, (0, 0)))).select("doc_id")  # about ``positives`` of them have a row
+    own = toxic.where(part(positives, *sizes.get(True, (0, 0)))).select("doc_id")
+    own = F.broadcast(own) if own.count() <= 16 * positives else own  # ids; more only if most labels have no document
     picked = rows.join(own, "doc_id", "left_semi").withColumn("toxic", F.lit(1))
     picked = picked.unionByName(rows.where(part(unlabelled, *both)).withColumn("toxic", F.lit(0)))
     table = picked.select("toxic", F.xxhash64("doc_id", "text").alias("mark"), "text").mapInArrow(featurizer(bits), "toxic int, mark bigint, features binary").toArrow().sort_by([("mark", "ascending"), ("toxic", "ascending")])
