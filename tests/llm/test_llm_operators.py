@@ -370,6 +370,43 @@ def test_near_dedup(spark, size, large):
     assert got == brute_components(rows, size, 80)
 
 
+def pages_of_a_template(seed=31, families=40, own=30):
+    """Pages that hold one template's words, and words of their family's, near the threshold in a family. All have the same
+    least shingle, so they are one bucket where there is one band of one row."""
+    rng = random.Random(seed)
+    shared, rows = sentence(rng, 110).split(), []
+    for k in range(families):
+        words = [f"f{k}w{j}" for j in range(own)]
+        for m in range(3):
+            rows.append((100 * k + m, " ".join([*shared, *words[: own - rng.randrange(8)], *(f"x{k}y{m}z{j}" for j in range(rng.randrange(30)))])))
+    sets = near_dedup.shingle_sets([t.encode() for _, t in rows], 2, near_dedup.WordHasher(near_dedup.BLANK_SPLIT))
+    least = [int(near_dedup.minhash(x, *near_dedup.permutations(1))[0]) for x in sets]
+    return [r for r, x in zip(rows, least, strict=True) if x == Counter(least).most_common(1)[0][0]]
+
+
+def test_links_of_pages_in_a_crowded_bucket(spark):
+    """Every pair of a bucket with many members outside its largest component meets, whatever else the two share."""
+    rows = pages_of_a_template()
+    want = brute_components(rows, 2, 80)
+    assert len(rows) > 60 and 40 < sum(kept for *_, kept in want) < len(rows) - 15
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = rows_of(near_dedup.near_components(df, size=2, bands=1, rows=1, block=8, large=0), "doc_id", "n_shingles", "component_id", "kept")
+    assert set(got) == want
+
+
+def test_first_shingles_hold_one_of_every_link():
+    """Of any two ordered sets with a link, the larger's probed and the smaller's indexed shingles meet."""
+    rng = random.Random(32)
+    for _ in range(3000):
+        percent = rng.choice([50, 80, 90, 100])
+        both, more = rng.randrange(1, 60), rng.randrange(0, 16)
+        x = set(rng.sample(range(200), both))
+        y = set(rng.sample(sorted(x), rng.randrange(1, len(x) + 1))) | set(rng.sample(range(200, 260), more))
+        x, y = sorted((sorted(x), sorted(y)), key=len, reverse=True)
+        if 100 * len(set(x) & set(y)) >= percent * len(set(x) | set(y)):
+            assert set(x[: near_dedup.first_shingles(len(x), percent)[0]]) & set(y[: near_dedup.first_shingles(len(y), percent)[1]])
+
+
 def test_near_dedup_odd_rows(spark, odd):
     got = near_dedup.near_components(odd)
     assert got.count() == odd.count() and got.columns == ["doc_id", "n_shingles", "component_id", "kept"]

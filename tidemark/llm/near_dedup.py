@@ -9,13 +9,19 @@
    on their full sets.
 4. Components of verified links. In buckets that still hold several components, the members outside the largest
    are compared with all members, in blocks of bounded size, again by signature and then by full sets; so links
-   that the bucket's least member doesn't have are found too. A bucket with more than ``LARGE`` members outside its
-   largest component (pages of one template) is first split by a second shared band: only members that share two bands
-   meet. Components again.
+   that the bucket's least member doesn't have are found too. Members of buckets with more than ``LARGE`` members
+   outside their largest component (pages of one template) meet where they share a rare shingle instead, which is
+   exact. Components again.
 
-Misses: a pair at the threshold shares no band with probability (1 - t**rows)**bands, 6e-5 for 0.8, 6 and 32, in a
-large bucket no second one with 8e-5, and falls to pruning with probability ``miss`` a batch at most; all fall fast above
-the threshold.
+Rare shingles (``_rare_links``): shingles are put into one order, the rarest first, by counts in ``SLOTS`` slots; links
+are the same in any order. A set of n shingles whose partner is no larger has a link only if the first
+n - ceil(t n) + 1 of its shingles hold one of the partner's first m - ceil(2 t m / (1 + t)) + 1. Such pairs, of different
+components, go if parity sketches of their sets differ in more bits than a link allows; the others are verified. What
+a template holds in common comes last in that order, so pages meet by what is their own; no pair with a link is left out.
+
+Misses: a pair at the threshold shares no band with probability (1 - t**rows)**bands, 6e-5 for 0.8, 6 and 32, and falls
+to pruning with probability ``miss`` a batch at most (nothing is pruned so among rare shingles); both fall fast above the
+threshold.
 
 Defined cases: null or wordless texts have an empty set, link with nothing and are kept; a text with fewer words
 than a shingle has one shingle; rows that repeat an id are judged each by its own text, and ``one_of_each`` keeps one row
@@ -34,6 +40,8 @@ from ._runtime import materialize
 from ._words import BLANK_SPLIT, WordHasher, mix, slices, texts_of
 
 BANDS, ROWS, BATCH, MISS, BLOCK, LARGE = 32, 6, 32, 1e-4, 256, 4096
+#: Counters that order shingles by how rare they are, and bits of a set's parity sketch.
+SLOTS, SKETCH = 1 << 20, 1024
 
 
 def shingle_sets(texts: list, size: int, hasher: WordHasher):
@@ -211,6 +219,97 @@ def block_linker(steps: list[tuple[int, int]], percent: int):
     return run
 
 
+def slot_of(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64)
+
+
+def slot_counter(batches):
+    import pyarrow as pa
+
+    total = np.zeros(SLOTS, dtype=np.int64)
+    for batch in slices(batches, "grams"):
+        total += np.bincount(slot_of(np.frombuffer(b"".join(batch.column("grams").to_pylist()), dtype=np.uint64)), minlength=SLOTS)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
+
+
+def first_shingles(n: int, percent: int) -> tuple[int, int]:
+    """How many of n ordered shingles must meet a partner's: towards partners of at most n, and of at least n."""
+    return n + 1 + -percent * n // 100, n + 1 + -2 * percent * n // (100 + percent)
+
+
+def rare_shingles(counts: np.ndarray, percent: int):
+    """Each set's first shingles in the order of (slot's count, shingle); ``indexed``: those for partners of at least n."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, "grams"):
+            grams, lengths, indexed, sizes = [], [], [], []
+            for raw in batch.column("grams").to_pylist():
+                own = np.frombuffer(raw, dtype=np.uint64)
+                probe, index = first_shingles(len(own), percent)
+                grams.append(own[np.argsort(counts[slot_of(own)], kind="stable")[:probe]])  # own is sorted
+                lengths.append(len(grams[-1]))
+                indexed.append(np.arange(lengths[-1]) < index)
+                sizes.append(len(own))
+            node, comp = (np.repeat(batch.column(c).to_numpy(), lengths) for c in ("node", "comp"))
+            keys = np.concatenate(grams).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, node, comp, np.repeat(sizes, lengths), np.concatenate(indexed))], ["key", "node", "comp", "n", "indexed"])
+
+    return run
+
+
+def sketcher(batches):
+    import pyarrow as pa
+
+    for batch in slices(batches, "grams"):
+        sets = [np.frombuffer(raw, dtype=np.uint64) for raw in batch.column("grams").to_pylist()]
+        odd = [np.packbits((np.bincount((x & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes() for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array(odd, pa.binary())], ["node", "n", "odd"])
+
+
+def may_link(percent: int):
+    """Sets whose parity sketches differ in b bits differ in b shingles at least; drops what b rules out."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, "odd_x"):
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH // 8) for c in ("odd_x", "odd_y"))
+            bits, n = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), batch.column("n_x").to_numpy() + batch.column("n_y").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("x", "y")], ["x", "y"]).filter(pa.array(bits * (100 + percent) <= n * (100 - percent)))
+
+    return run
+
+
+def _both(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """pairs: (x, y); of: (node, ...). Adds the other columns of both nodes, named with _x and _y."""
+    for side in "xy":
+        pairs = pairs.join(of.withColumnsRenamed({c: side if c == "node" else f"{c}_{side}" for c in of.columns}), side)
+    return pairs
+
+
+def _rare_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members: (node, comp). (x, y): every link between members of different components."""
+    held = materialize(members.join(sets, "node"), "crowded")
+    slots = held.select("grams").mapInArrow(slot_counter, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
+    rare = materialize(held.mapInArrow(rare_shingles(counts, percent), "key bigint, node bigint, comp bigint, n bigint, indexed boolean"), "rare")
+    # written first, so that both sides of the join are plain exchanges and a frequent shingle's rows can be split
+    met = materialize(rare.join(materialize(_mixed(rare).select("key", "main"), "rare-mixed"), "key").withColumn("minor", F.col("comp") != F.col("main")).drop("main"), "rare-met")
+    named = lambda s: met.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "n", "indexed", "minor")))
+    fits = lambda a, b: F.col(f"indexed_{a}") & (100 * F.col(f"n_{a}") >= percent * F.col(f"n_{b}"))
+    smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
+    once = ~F.col("minor_y") | (F.col("node_x") < F.col("node_y"))
+    pairs = named("x").where("minor_x").join(named("y"), "key").where((F.col("comp_x") != F.col("comp_y")) & once & F.when(smaller, fits("x", "y")).otherwise(fits("y", "x")))
+    pairs = materialize(pairs.select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct(), "rare-pairs")
+    sketches = materialize(held.select("node", "grams").mapInArrow(sketcher, "node bigint, n bigint, odd binary"), "sketches")
+    likely = materialize(_both(pairs, sketches).mapInArrow(may_link(percent), "x bigint, y bigint"), "rare-likely")
+    return materialize(_both(likely, held.select("node", "grams")).mapInArrow(verifier(percent), "x bigint, y bigint"), "rare-links")
+
+
 def _mixed(members: DataFrame) -> DataFrame:
     """members: (key, node, comp). The keys that hold several components: (key, main, all, most), main the largest."""
     parts = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
@@ -246,8 +345,7 @@ def _classes(docs: DataFrame, size: int, percent: int, bands: int, rows: int, mi
     met = materialize(member.join(materialize(bucket, "pivots"), "key"), "buckets")
     pairs = met.where("node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
     sigs = reps.select("node", "sig")
-    seen = pairs.join(sigs.withColumnsRenamed({"node": "x", "sig": "sig_x"}), "x").join(sigs.withColumnsRenamed({"node": "y", "sig": "sig_y"}), "y")
-    likely = materialize(seen.mapInArrow(pruner(steps), "x bigint, y bigint"), "likely")
+    likely = materialize(_both(pairs, sigs).mapInArrow(pruner(steps), "x bigint, y bigint"), "likely")
     # full sets of everything that shares a bucket, from one row of each
     copies = known.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("rows"))
     wanted = reps.join(met.select("node").distinct(), "node", "left_semi").select("node", "least.doc_id", "least.mark")
@@ -257,22 +355,17 @@ def _classes(docs: DataFrame, size: int, percent: int, bands: int, rows: int, mi
     sets = materialize(texts.mapInArrow(set_maker(size), "node bigint, rows bigint, grams binary"), "sets")
     # equal rows that met in several tasks are few by now
     sets = sets.where("rows = 1").select("node", "grams").unionByName(sets.where("rows > 1").groupBy("node").agg(F.first("grams").alias("grams")))
-    full = likely.join(sets.withColumnsRenamed({"node": "x", "grams": "grams_x"}), "x").join(sets.withColumnsRenamed({"node": "y", "grams": "grams_y"}), "y")
-    links = materialize(full.mapInArrow(verifier(percent), "x bigint, y bigint"), "links")
+    links = materialize(_both(likely, sets).mapInArrow(verifier(percent), "x bigint, y bigint"), "links")
     roots = components(links, "x", "y")
     # buckets with several components left
     open_ = met.where("members > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     mixed = materialize(_mixed(open_), "mixed")
     outside = F.col("all") - F.col("most")
-    tasks = _block_tasks(open_, mixed.where(outside <= large), block)
+    tasks = _block_tasks(open_, mixed.where(outside <= large), block).join(sigs, "node").join(sets, "node")
+    more = materialize(tasks.groupBy("key", "i", "j").applyInPandas(block_linker(steps, percent), "x bigint, y bigint"), "more-links")
     crowded = mixed.where(outside > large).select("key")
     if not crowded.isEmpty():
-        twice = open_.join(crowded, "key").join(reps.select("node", "keys"), "node").select("node", "comp", "key", F.explode("keys").alias("other")).where("key <> other")
-        pair = F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")
-        twice = materialize(twice.select(pair, "node", "comp").distinct(), "twice")
-        tasks = tasks.unionByName(_block_tasks(twice, materialize(_mixed(twice), "mixed"), block))
-    tasks = tasks.join(sigs, "node").join(sets, "node")
-    more = materialize(tasks.groupBy("key", "i", "j").applyInPandas(block_linker(steps, percent), "x bigint, y bigint"), "more-links")
+        more = more.unionByName(_rare_links(open_.join(crowded, "key").select("node", "comp").distinct(), sets, percent))
     roots = components(links.unionByName(more), "x", "y") if not more.isEmpty() else roots
     # each component's least document; representatives are the least of their copies
     linked = reps.select("n_shingles", "k1", "k2", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
