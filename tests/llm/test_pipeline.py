@@ -1,7 +1,9 @@
 """The pipeline: stages in order, each against its own input, on the smallest tables and on odd rows."""
 
+import random
 import re
 from collections import Counter
+from functools import partial
 from pathlib import Path
 
 import pytest
@@ -96,6 +98,35 @@ def test_stages_against_brute_force(spark):
     assert max(counts.values()) - min(counts.get(k, 0) for k in range(24)) <= 1
 
 
+def test_near_dedup_stage_on_a_crowded_bucket(spark, monkeypatch):
+    """Pages of one template, all in one bucket: one of each group stays, though its pages share no second band."""
+    rng = random.Random(41)
+    template, rows = [f"t{k}" for k in range(150)], []
+    for k in range(30):
+        own = [f"f{k}w{j}" for j in range(40)]
+        rows += [(100 * k + m, " ".join([*template, *own[: 40 - rng.randrange(9)], *(f"x{k}y{m}z{j}" for j in range(rng.randrange(30)))])) for m in range(3)]
+    sets = near_dedup.shingle_sets([t.encode() for _, t in rows], 5, near_dedup.WordHasher(near_dedup.BLANK_SPLIT))
+    least = [int(near_dedup.minhash(x, *near_dedup.permutations(1))[0]) for x in sets]
+    rows = [(i, t, "en", "a", 1) for (i, t), x in zip(rows, least, strict=True) if x == Counter(least).most_common(1)[0][0]]
+    held, root = {i: shingles(t) for i, t, *_ in rows}, {i: i for i, *_ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in held:
+        for b in held:
+            if a < b and 100 * len(held[a] & held[b]) >= 80 * len(held[a] | held[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    stay = {i for i in held if find(i) == i}
+    assert len(held) > 40 and 20 < len(stay) < len(held) - 10
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    monkeypatch.setattr(corpus_pipeline, "one_of_each", partial(near_dedup.one_of_each, bands=1, rows=1, block=8, large=0))
+    assert ids(corpus_pipeline.near_dedup(spark, df, DATA)) == stay
+
+
 def test_stages_on_empty_and_odd_tables(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = [(None, None, None, None, None), (1, None, "en", None, 0), (1, None, "en", None, 0), (2, "", None, "a", None), (3, "x" * 200_000, "en", "a", 1)]
