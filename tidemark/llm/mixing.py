@@ -103,20 +103,26 @@ def _bucket_count(narrow: DataFrame) -> int:
     return max(LEAST_BUCKETS, -(-(narrow.agg(F.sum("__size")).first()[0] or 0) // BUCKET_WORDS))
 
 
-def _taken(rows: DataFrame, narrow: DataFrame, seed: int, shards: int, max_repeat: int, fine: int, block: int | None) -> DataFrame:
-    """rows with __source_size, __target and __taken; narrow: the same rows, at least __source, __bucket and __size."""
-    totals = narrow.groupBy("__source", "__bucket").agg(F.sum("__size").alias("words"))
+def _dealt(narrow: DataFrame, seed: int, shards: int, max_repeat: int, fine: int, block: int | None) -> tuple[DataFrame, DataFrame]:
+    """narrow: at least __source, __bucket and __size of all rows. Written tables: where each (source, bucket) starts, and
+    each source with its quotas."""
+    totals = materialize(narrow.groupBy("__source", "__bucket").agg(F.sum("__size").alias("words")), "mix-totals")
     sizes = totals.groupBy(F.col("__source").alias("source")).agg(F.sum("words").alias("source_size"))
-    quotas = materialize(seat_quotas(source_targets(sizes, max_repeat), fine, max_repeat, block).select("source", "source_size", "target", "block", "blocks", "seats"), "mix-quotas")
+    quotas = materialize(seat_quotas(materialize(source_targets(sizes, max_repeat), "mix-targets"), fine, max_repeat, block).select("source", "source_size", "target", "block", "blocks", "seats"), "mix-quotas")
     dealt = shard_quotas(quotas, shards, seed).groupBy(F.col("source").alias("dealt")).agg(F.max("full").alias("full"), F.sort_array(F.collect_list(F.struct("shard", "first", "own_blocks", "before", "extra", "phase"))).alias("runs"))  # shards per source
     quotas = quotas.join(dealt, F.col("source").eqNullSafe(F.col("dealt")))
     quotas = quotas.select(*(F.col(c).alias(f"__{c}") for c in ("source_size", "target", "block", "blocks", "full", "runs")), F.col("source").alias("__whose"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = totals.select(F.col("__source").alias("__of"), F.col("__bucket").alias("__of_bucket"), before.alias("__bucket_start"))
+    return materialize(starts, "mix-starts"), materialize(quotas, "mix-sources")
+
+
+def _taken(rows: DataFrame, starts: DataFrame, sources: DataFrame, shards: int) -> DataFrame:
+    """rows with __source_size, __target and __taken, from what ``_dealt`` wrote."""
     order = Window.partitionBy("__source", "__bucket").orderBy("__id", "__mark", "__size")
     placed = rows.withColumn("__within", F.coalesce(F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.join(materialize(starts, "mix-starts"), F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__bucket") == F.col("__of_bucket")))
-    placed = placed.join(materialize(quotas, "mix-sources"), F.col("__source").eqNullSafe(F.col("__whose")))
+    placed = placed.join(starts, F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__bucket") == F.col("__of_bucket")))
+    placed = placed.join(sources, F.col("__source").eqNullSafe(F.col("__whose")))
     start = F.col("__bucket_start") + F.col("__within")
     placed = placed.withColumns({"__from": _extra_words(start, shards), "__to": _extra_words(start + F.col("__size"), shards)})
     return placed.withColumn("__taken", F.when(F.col("__size") > 0, F.col("__size") * F.col("__full") + F.col("__to") - F.col("__from")).otherwise(F.lit(0)).cast("bigint"))
@@ -140,7 +146,7 @@ def mix(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, max_repeat: int
     rows = _sized(docs.select(id_col, text_col, source_col), seed, id_col, text_col, source_col)
     rows = materialize(rows.select("__id", "__source", "__size", "__mark", "__spot"), "mix")
     rows = rows.withColumn("__bucket", _bucket(_bucket_count(rows)))
-    out = _taken(rows, rows, seed, shards, max_repeat, fine, block)
+    out = _taken(rows, *_dealt(rows, seed, shards, max_repeat, fine, block), shards)
     return out.select(*(F.col(f"__{c}").alias("doc_id" if c == "id" else c) for c in ("id", "source", "size", "source_size", "target", "taken")))
 
 
@@ -150,9 +156,12 @@ def _shared(taken: DataFrame) -> DataFrame:
     return taken.withColumns({"__share": F.coalesce(share, F.lit(0)).cast("bigint"), "__class": F.coalesce(-F.floor(F.log2("__size") * CLASSES), F.lit(1)).cast("int")})
 
 
-def _share_starts(shared: DataFrame) -> DataFrame:
+def _share_groups(shared: DataFrame) -> DataFrame:
+    return shared.groupBy("__source", "__class", "__bucket").agg(F.sum("__share").alias("shares"))
+
+
+def _share_starts(groups: DataFrame) -> DataFrame:
     """(__in, __in_class, __in_bucket, __share_start): the source's shares before each (class, bucket)."""
-    groups = shared.groupBy("__source", "__class", "__bucket").agg(F.sum("__share").alias("shares"))
     before = lambda keys, by: F.coalesce(F.sum("shares").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     classes = groups.groupBy(F.col("__source").alias("__of_source"), F.col("__class").alias("__of_class")).agg(F.sum("shares").alias("shares"))
     classes = classes.select("__of_source", "__of_class", before(["__of_source"], "__of_class").alias("class_start"))
@@ -167,8 +176,10 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, max
     narrow = materialize(rows.select("__id", "__source", "__size", "__mark", "__spot"), "mix-narrow")
     bucket = _bucket(_bucket_count(narrow))
     rows, narrow = rows.withColumn("__bucket", bucket), narrow.withColumn("__bucket", bucket)
-    starts = materialize(_share_starts(_shared(_taken(narrow, narrow, seed, shards, max_repeat, fine, block))), "mix-shares")
-    shared = _shared(_taken(rows, narrow, seed, shards, max_repeat, fine, block))
+    dealt = _dealt(narrow, seed, shards, max_repeat, fine, block)  # once, for both uses
+    groups = materialize(_share_groups(_shared(_taken(narrow, *dealt, shards))), "mix-groups")
+    starts = materialize(_share_starts(groups), "mix-shares")
+    shared = _shared(_taken(rows, *dealt, shards))
     order = Window.partitionBy("__source", "__bucket", "__class").orderBy(F.col("__size").desc(), "__id", "__mark", "__taken")
     shared = shared.withColumn("__shares", F.sum("__share").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     out = shared.join(starts, F.col("__source").eqNullSafe(F.col("__in")) & (F.col("__class") == F.col("__in_class")) & (F.col("__bucket") == F.col("__in_bucket")))
