@@ -127,6 +127,48 @@ def test_near_dedup_stage_on_a_crowded_bucket(spark, monkeypatch):
     assert ids(corpus_pipeline.near_dedup(spark, df, DATA)) == stay
 
 
+def test_near_dedup_stage_leaves_no_candidate_to_chance(spark, monkeypatch):
+    """What signatures call doubtful is decided on full sets: pairs at the threshold that they reject, one by one and, in
+    one bucket, in blocks."""
+    schema, hasher = "doc_id bigint, text string, lang string, source string, n_chars bigint", near_dedup.WordHasher(near_dedup.BLANK_SPLIT)
+    steps, turns, rows = near_dedup.least_matches(0.8, 192, 32, 1e-4), near_dedup.permutations(192), []
+    for k in (1849, 3444, 4308):
+        words = [f"p{k}w{j}" for j in range(54)]
+        pair = [" ".join(words), " ".join(words[:44])]
+        assert 100 * len(shingles(pair[0]) & shingles(pair[1])) == 80 * len(shingles(pair[0]) | shingles(pair[1]))
+        x, y = ((near_dedup.minhash(g, *turns) & 0xFFFF).astype("uint16") for g in near_dedup.shingle_sets([t.encode() for t in pair], 5, hasher))
+        assert (x == y).reshape(32, 6).all(axis=1).any() and not len(near_dedup.survivors(x[None], y[None], steps))
+        rows += [(2 * k, pair[0], "en", "a", 1), (2 * k + 1, pair[1], "en", "a", 1)]
+    got = ids(corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, schema), DATA))
+    assert got == {2 * k for k in (1849, 3444, 4308)}
+
+    rng, made = random.Random(42), []
+    template = [f"t{k}" for k in range(600)]
+    for k in range(32):  # some sets need longer sketches than others
+        own = [f"f{k}w{j}" for j in range(60 + 30 * (k % 5))]
+        made += [" ".join([*template[: 150 * (1 + k % 4)], *own[: len(own) - rng.randrange(9)], *(f"x{k}y{m}z{j}" for j in range(rng.randrange(60)))]) for m in range(4)]
+    least = [int(near_dedup.minhash(x, *near_dedup.permutations(1))[0]) for x in near_dedup.shingle_sets([t.encode() for t in made], 5, hasher)]
+    made = [t for t, x in zip(made, least, strict=True) if x == Counter(least).most_common(1)[0][0]]
+    held, root = [shingles(t) for t in made], list(range(len(made)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(made)):
+        for b in range(a):
+            if 100 * len(held[a] & held[b]) >= 80 * len(held[a] | held[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    stay = {i for i in range(len(made)) if find(i) == i}
+    assert len(made) > 40 and 10 < len(stay) < len(made) - 10
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(made)], schema)
+    for large in (0, 4096):
+        monkeypatch.setattr(corpus_pipeline, "one_of_each", partial(near_dedup.one_of_each, bands=1, rows=1, miss=0.5, block=8, large=large))
+        assert ids(corpus_pipeline.near_dedup(spark, df, DATA)) == stay
+
+
 def test_stages_on_empty_and_odd_tables(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = [(None, None, None, None, None), (1, None, "en", None, 0), (1, None, "en", None, 0), (2, "", None, "a", None), (3, "x" * 200_000, "en", "a", 1)]

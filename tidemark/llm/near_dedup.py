@@ -5,13 +5,14 @@
 2. Representatives that share a band are candidates. Each bucket links its members to its least member: as many
    pairs as members, not their square.
 3. Pairs are compared in batches of signature rows. After each batch the posterior of their similarity (uniform
-   prior) decides: a pair goes once its chance of reaching the threshold is below ``miss``; the others are verified
-   on their full sets.
+   prior) decides: a pair is doubtful once its chance of reaching the threshold is below ``miss``; the others are
+   verified on their full sets. Doubtful pairs go only if sizes or parity sketches of their sets rule a link out, which
+   is exact; else they are verified too.
 4. Components of verified links. In buckets that still hold several components, the members outside the largest
-   are compared with all members, in blocks of bounded size, again by signature and then by full sets; so links
-   that the bucket's least member doesn't have are found too. Members of buckets with more than ``LARGE`` members
-   outside their largest component (pages of one template) meet where they share a rare shingle instead, which is
-   exact. Components again.
+   are compared with all members, in blocks of bounded size, again by signature, the doubtful last by sketches, and then
+   by full sets; so links that the bucket's least member doesn't have are found too. Members of buckets with more than
+   ``LARGE`` members outside their largest component (pages of one template) meet where they share a rare shingle
+   instead, which is exact. Components again.
 
 Rare shingles (``_rare_links``): shingles are put into one order, the rarest first, by counts in ``SLOTS`` slots; links
 are the same in any order. A set of n shingles whose partner is no larger has a link only if the first
@@ -19,9 +20,8 @@ n - ceil(t n) + 1 of its shingles hold one of the partner's first m - ceil(2 t m
 components, go if parity sketches of their sets differ in more bits than a link allows; the others are verified. What
 a template holds in common comes last in that order, so pages meet by what is their own; no pair with a link is left out.
 
-Misses: a pair at the threshold shares no band with probability (1 - t**rows)**bands, 6e-5 for 0.8, 6 and 32, and falls
-to pruning with probability ``miss`` a batch at most (nothing is pruned so among rare shingles); both fall fast above the
-threshold.
+Misses: a pair at the threshold shares no band with probability (1 - t**rows)**bands, 6e-5 for 0.8, 6 and 32, which falls
+fast above it. No pair that shares a band is left out: ``miss`` and the signatures only order the work.
 
 Defined cases: null or wordless texts have an empty set, link with nothing and are kept; a text with fewer words
 than a shingle has one shingle; rows that repeat an id are judged each by its own text, and ``one_of_each`` keeps one row
@@ -40,8 +40,8 @@ from ._runtime import materialize
 from ._words import BLANK_SPLIT, WordHasher, mix, slices, texts_of
 
 BANDS, ROWS, BATCH, MISS, BLOCK, LARGE = 32, 6, 32, 1e-4, 256, 4096
-#: Counters that order shingles by how rare they are, and bits of a set's parity sketch.
-SLOTS, SKETCH = 1 << 20, 1024
+#: Counters that order shingles by how rare they are, and the least and most bits of a set's parity sketch.
+SLOTS, SKETCH, MOST_SKETCH = 1 << 20, 1 << 10, 1 << 16
 
 
 def shingle_sets(texts: list, size: int, hasher: WordHasher):
@@ -163,13 +163,17 @@ def set_maker(size: int):
 
 
 def pruner(steps: list[tuple[int, int]]):
+    """Marks the pairs that no batch rejects as likely."""
+
     def run(batches):
         import pyarrow as pa
 
         for batch in slices(batches, "sig_x"):
             total = steps[-1][0]
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, total) for c in ("sig_x", "sig_y"))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("x", "y")], ["x", "y"]).take(pa.array(survivors(x, y, steps)))
+            likely = np.zeros(len(x), dtype=bool)
+            likely[survivors(x, y, steps)] = True
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(likely)], ["x", "y", "likely"])
 
     return run
 
@@ -204,13 +208,19 @@ def block_linker(steps: list[tuple[int, int]], percent: int):
         sig_y = np.frombuffer(b"".join(every["sig"]), dtype=np.uint16).reshape(-1, total)
         ids, comps = every["node"].to_numpy(), every["comp"].to_numpy()
         grams_y = [np.frombuffer(g, dtype=np.uint64) for g in every["grams"]]
+        n_y = np.array([len(g) for g in grams_y], dtype=np.int64)
+        bits = sketch_bits(int(n_y.max(initial=0)))
+        odd_y = np.frombuffer(b"".join(parity(g, bits) for g in grams_y), dtype=np.uint64).reshape(-1, bits // 64)
         links = []
         for node, comp, sig, grams in zip(minor["node"], minor["comp"], minor["sig"], minor["grams"], strict=True):
             x = np.frombuffer(sig, dtype=np.uint16)
             good = survivors(np.broadcast_to(x, sig_y.shape), sig_y, steps)
             good = good[np.argsort(-(sig_y[good] == x).sum(axis=1), kind="stable")]
             own = np.frombuffer(grams, dtype=np.uint64)
-            for j in good:
+            apart = np.bitwise_count(odd_y ^ np.frombuffer(parity(own, bits), dtype=np.uint64)).sum(axis=1, dtype=np.int64)
+            may = possible(apart, np.int64(len(own)), n_y, percent)
+            likely, may[good] = good[may[good]], False
+            for j in (*likely, *np.flatnonzero(may)):
                 if find(comp) != find(comps[j]) and similar(own, grams_y[j], percent):
                     root[find(comp)] = find(comps[j])
                     links.append((node, ids[j]))
@@ -219,6 +229,21 @@ def block_linker(steps: list[tuple[int, int]], percent: int):
     return run
 
 
+def sketch_bits(n: int) -> int:
+    return min(MOST_SKETCH, max(SKETCH, 1 << (2 * n).bit_length()))
+
+
+def parity(grams: np.ndarray, bits: int) -> bytes:
+    """Of each of so many slots, whether it holds an odd number of shingles. Half as many bits: both halves' XOR."""
+    return np.packbits((np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def possible(apart: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
+    """Sets whose sketches differ in so many bits differ in as many shingles at least; False where that or their sizes rule
+    a link out."""
+    return (apart * (100 + percent) <= (n_x + n_y) * (100 - percent)) & (100 * np.minimum(n_x, n_y) >= percent * np.maximum(n_x, n_y))
+
+
 def slot_of(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64)
 
@@ -265,20 +290,33 @@ def sketcher(batches):
 
     for batch in slices(batches, "grams"):
         sets = [np.frombuffer(raw, dtype=np.uint64) for raw in batch.column("grams").to_pylist()]
-        odd = [np.packbits((np.bincount((x & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes() for x in sets]
+        odd = [parity(x, sketch_bits(len(x))) for x in sets]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array(odd, pa.binary())], ["node", "n", "odd"])
 
 
+def folded(odd: bytes, size: int) -> bytes:
+    while len(odd) > size:
+        both = np.frombuffer(odd, dtype=np.uint8).reshape(2, -1)
+        odd = (both[0] ^ both[1]).tobytes()
+    return odd
+
+
 def may_link(percent: int):
-    """Sets whose parity sketches differ in b bits differ in b shingles at least; drops what b rules out."""
+    """Drops the pairs that sizes or sketches rule out."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in slices(batches, "odd_x"):
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH // 8) for c in ("odd_x", "odd_y"))
-            bits, n = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), batch.column("n_x").to_numpy() + batch.column("n_y").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("x", "y")], ["x", "y"]).filter(pa.array(bits * (100 + percent) <= n * (100 - percent)))
+            odd_x, odd_y = (batch.column(c).to_pylist() for c in ("odd_x", "odd_y"))
+            sizes = np.array([min(len(x), len(y)) for x, y in zip(odd_x, odd_y, strict=True)])
+            apart = np.zeros(len(sizes), dtype=np.int64)
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                x, y = (np.frombuffer(b"".join(folded(odd[k], size) for k in at), dtype=np.uint64).reshape(len(at), -1) for odd in (odd_x, odd_y))
+                apart[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            good = possible(apart, batch.column("n_x").to_numpy(), batch.column("n_y").to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("x", "y")], ["x", "y"]).filter(pa.array(good))
 
     return run
 
@@ -290,6 +328,13 @@ def _both(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return pairs
 
 
+def _exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that are links, by sketches and then by full sets."""
+    sketches = materialize(sets.select("node", "grams").mapInArrow(sketcher, "node bigint, n bigint, odd binary"), "sketches")
+    left = materialize(_both(pairs, sketches).mapInArrow(may_link(percent), "x bigint, y bigint"), "possible")
+    return materialize(_both(left, sets.select("node", "grams")).mapInArrow(verifier(percent), "x bigint, y bigint"), "exact-links")
+
+
 def _rare_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """members: (node, comp). (x, y): every link between members of different components."""
     held = materialize(members.join(sets, "node"), "crowded")
@@ -304,10 +349,7 @@ def _rare_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
     once = ~F.col("minor_y") | (F.col("node_x") < F.col("node_y"))
     pairs = named("x").where("minor_x").join(named("y"), "key").where((F.col("comp_x") != F.col("comp_y")) & once & F.when(smaller, fits("x", "y")).otherwise(fits("y", "x")))
-    pairs = materialize(pairs.select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct(), "rare-pairs")
-    sketches = materialize(held.select("node", "grams").mapInArrow(sketcher, "node bigint, n bigint, odd binary"), "sketches")
-    likely = materialize(_both(pairs, sketches).mapInArrow(may_link(percent), "x bigint, y bigint"), "rare-likely")
-    return materialize(_both(likely, held.select("node", "grams")).mapInArrow(verifier(percent), "x bigint, y bigint"), "rare-links")
+    return _exact_links(materialize(pairs.select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct(), "rare-pairs"), held, percent)
 
 
 def _mixed(members: DataFrame) -> DataFrame:
@@ -345,7 +387,7 @@ def _classes(docs: DataFrame, size: int, percent: int, bands: int, rows: int, mi
     met = materialize(member.join(materialize(bucket, "pivots"), "key"), "buckets")
     pairs = met.where("node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
     sigs = reps.select("node", "sig")
-    likely = materialize(_both(pairs, sigs).mapInArrow(pruner(steps), "x bigint, y bigint"), "likely")
+    judged = materialize(_both(pairs, sigs).mapInArrow(pruner(steps), "x bigint, y bigint, likely boolean"), "judged")
     # full sets of everything that shares a bucket, from one row of each
     copies = known.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("rows"))
     wanted = reps.join(met.select("node").distinct(), "node", "left_semi").select("node", "least.doc_id", "least.mark")
@@ -355,7 +397,8 @@ def _classes(docs: DataFrame, size: int, percent: int, bands: int, rows: int, mi
     sets = materialize(texts.mapInArrow(set_maker(size), "node bigint, rows bigint, grams binary"), "sets")
     # equal rows that met in several tasks are few by now
     sets = sets.where("rows = 1").select("node", "grams").unionByName(sets.where("rows > 1").groupBy("node").agg(F.first("grams").alias("grams")))
-    links = materialize(_both(likely, sets).mapInArrow(verifier(percent), "x bigint, y bigint"), "links")
+    links = materialize(_both(judged.where("likely").select("x", "y"), sets).mapInArrow(verifier(percent), "x bigint, y bigint"), "links")
+    links = links.unionByName(_exact_links(judged.where("not likely").select("x", "y"), sets, percent))
     roots = components(links, "x", "y")
     # buckets with several components left
     open_ = met.where("members > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
