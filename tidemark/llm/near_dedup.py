@@ -345,10 +345,10 @@ def _rare_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # written first, so that both sides of the join are plain exchanges and a frequent shingle's rows can be split
     met = materialize(rare.join(materialize(_mixed(rare).select("key", "main"), "rare-mixed"), "key").withColumn("minor", F.col("comp") != F.col("main")).drop("main"), "rare-met")
     named = lambda s: met.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "comp", "n", "indexed", "minor")))
-    fits = lambda a, b: F.col(f"indexed_{a}") & (100 * F.col(f"n_{a}") >= percent * F.col(f"n_{b}"))
+    # x the smaller set; most rows of a frequent shingle are not indexed, so they don't meet each other
     smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
-    once = ~F.col("minor_y") | (F.col("node_x") < F.col("node_y"))
-    pairs = named("x").where("minor_x").join(named("y"), "key").where((F.col("comp_x") != F.col("comp_y")) & once & F.when(smaller, fits("x", "y")).otherwise(fits("y", "x")))
+    fits = smaller & (100 * F.col("n_x") >= percent * F.col("n_y")) & (F.col("comp_x") != F.col("comp_y")) & (F.col("minor_x") | F.col("minor_y"))
+    pairs = named("x").where("indexed_x").join(named("y"), "key").where(fits)
     return _exact_links(materialize(pairs.select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct(), "rare-pairs"), held, percent)
 
 
