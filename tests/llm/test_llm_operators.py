@@ -600,6 +600,35 @@ def test_piece_encoder_over_all_of_unicode():
     assert not same(["\u09ac\u09dc", "\u0958\u0959 \u09df", "\ufb1f\ufb2a", "\u0b5c", "\u0f43", "\u0558", "\u1c89", "\ua7cb", "\U00010940"])
 
 
+def test_piece_encoder_in_batches():
+    """Columns of texts: the library's ids with full and small caches, and each distinct word encoded once, whatever
+    stands beside it. (Before, pieces between blanks were encoded one by one.)"""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(token_files.tokenizer_path())
+    made = []
+    counted = token_files.PieceEncoder(token_files.tokenizer_path())
+    for known in (counted.words, counted.few):
+        known.make = lambda strings, odd, make=known.make: made.extend(strings) or make(strings, odd)
+    counted.texts(pa.array(["alpha, beta. gamma", None, "(beta) alpha-gamma 11", "don't"]))
+    counted.texts(pa.array(["gamma.alpha,beta don't 1"]))
+    assert sorted(made) == sorted(["alpha", ",", "beta", ".", "gamma", "(", ")", "-", "1", "don't"])
+    rng = random.Random(31)
+    parts = ["alpha", "Beta", "ÉTÉ", "ß", "ǅ", "ȺȾ", "²", "12", "...", ",", "-", "'", "'s", "'Re", "_", "\x00", "\x1c", "\x85", "\u00a0", "\u3000", "\u0301", "Σ", "東京", "😀", "<|endoftext|>", "<|endof", "text|>", "<|startoftext|>", " ", " ", " ", "\n", "\t\r"]
+    for cache in (3, 40, 400_000):
+        own = token_files.PieceEncoder(token_files.tokenizer_path(), cache=cache)
+        for size in (0, 1, 2, 7, 300, 3, 900):
+            texts = [rng.choice([None, "", "  "]) if rng.random() < 0.2 else "".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(size + 2)]
+            column = pa.array(texts, pa.string()).slice(1, size)  # not at the buffer's beginning
+            ids, sizes = own.texts(column)
+            want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts[1 : size + 1]]
+            assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+            assert len(own.words.strings) <= cache and len(own.few.strings) <= cache
+    ids, sizes = own.texts(pa.array(["aé " * 3, "", None], pa.large_string()))
+    assert sizes.tolist()[1:] == [0, 0] and ids.tolist() == whole.encode("aé " * 3, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(spark, odd, rule):
     encoding, width = token_counts.load(*token_counts.rank_file())

@@ -106,14 +106,14 @@ class WordHasher:
             yield first, hashes, np.searchsorted(starts, begins)
 
 
-def slices(batches, column: str | None = "text"):
-    """The batches in slices of at most ``SLICE`` rows whose texts hold about ``SLICE_BYTES`` (a longer text is a slice
+def slices(batches, column: str | None = "text", rows: int = SLICE):
+    """The batches in slices of at most ``rows`` rows whose texts hold about ``SLICE_BYTES`` (a longer text is a slice
     of its own), so that a worker never holds a whole batch as Python values."""
     import pyarrow.compute as pc
 
     for batch in batches:
         if column is None or column not in batch.schema.names:
-            cuts = [*range(0, batch.num_rows, SLICE), batch.num_rows]
+            cuts = [*range(0, batch.num_rows, rows), batch.num_rows]
         else:
             sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
             total = np.cumsum(sizes, dtype=np.int64)
@@ -122,7 +122,7 @@ def slices(batches, column: str | None = "text"):
                 at = cuts[-1]
                 before = int(total[at - 1]) if at else 0
                 by_size = int(np.searchsorted(total, before + SLICE_BYTES, side="right"))
-                cuts.append(min(batch.num_rows, at + SLICE, max(at + 1, by_size)))
+                cuts.append(min(batch.num_rows, at + rows, max(at + 1, by_size)))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)

@@ -7,19 +7,20 @@ delta encoded. Row groups and pages are bounded (``ROW_GROUP``, ``PAGE``), and t
 reader fetches the few pages of a document by doc_id, or the metadata columns without any tokens. A document's
 place in the whole stream is its part's base (a running sum of the parts' totals) plus its offset.
 
-Encoding. No pre-token of this kind of tokenizer spans white space, so texts are cut there and each distinct piece is
-encoded once per worker (a bounded cache). A piece of ASCII, or of those letters and signs below U+0500 that the encoder
-finds, when it starts, to be normalised and cut as the library does it, is cut here and its words go to the library's
-model; any other piece goes to the library's ``encode``; a text that holds the string of a special token, or a separator
-that only Python takes for white space, goes there whole. All give the library's own ids.
+Encoding. No pre-token of this kind of tokenizer spans white space. A slice of texts is cut as bytes, by what the pattern
+takes ASCII and those letters and signs below U+0500 for that the encoder finds, when it starts, to be treated as the
+library does it. Equal words are found by one hashing of the slice beside the known words; only new ones are normalised and
+go to the library's model, many in a call (a bounded cache per worker, a small one for few words). A run between ASCII
+blanks that holds any other character, an apostrophe or the string of a special token goes to the library's ``encode`` as
+it is. All give the library's own ids.
 
 Defined cases: a null text is empty and has the end id alone; null ids come first and repeated ids stand together,
 ordered by their text; an empty table gives an empty result; other columns aren't read.
 """
 
+import json
 import re
 import uuid
-from array import array
 from functools import lru_cache
 from unicodedata import normalize
 
@@ -32,6 +33,12 @@ from ._words import slices
 
 END_ID = 1
 ROW_GROUP, PAGE, CACHE = 16 << 20, 256 << 10, 400_000
+LONG, CALL, FEW = 64, 1 << 14, 1 << 12  # most ids of a string that is kept when a cache is full; strings in a call of the library; a small cache
+SLICE = 1 << 14  # most texts encoded together; their bytes are bounded by slices()
+BLANKS = " \t\n\x0b\x0c\r"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BLANK, LETTER, NUMBER, OTHER, ODD = range(5)
+TOP = 0x500  # characters from here on are odd
 SCHEMA = "doc_id bigint, part int, offset bigint, n_tokens int, ids array<int>"
 
 
@@ -41,84 +48,183 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Known:
+    """Ids of distinct strings. Given strings are found by one hashing of the known and the given ones, so that only a new
+    one becomes a Python value. ``make`` gets new strings, and which are odd; it gives ids and their number for each."""
+
+    def __init__(self, make, limit: int):
+        import pyarrow as pa
+
+        self.make, self.limit = make, limit
+        self.strings, self.flat = pa.array([], pa.string()), np.zeros(0, np.int32)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def ids(self, values, odd: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all values one after the other, the end of each value's)."""
+        import pyarrow as pa
+
+        n = len(self.strings)
+        found = pa.chunked_array([*([self.strings] if n else []), values]).dictionary_encode().chunk(1 if n else 0)
+        at = found.indices.to_numpy()
+        if len(found.dictionary) > n:
+            strange = np.zeros(len(found.dictionary), dtype=bool)
+            if odd is not None:
+                strange[at[odd]] = True
+            flat, sizes = self.make(found.dictionary.slice(n).to_pylist(), strange[n:])
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.strings, self.flat, self.sizes = found.dictionary, np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        out = self.flat[_places(self.starts[at], sizes, ends)]
+        if len(self.strings) > self.limit or len(self.flat) > 8 * self.limit:
+            self._forget(at)
+        return out, ends
+
+    def _forget(self, at: np.ndarray) -> None:
+        """Keep the short strings that the last call gave more than once, if they leave room."""
+        import pyarrow as pa
+
+        keep = np.flatnonzero((np.bincount(at, minlength=len(self.sizes)) > 1) & (self.sizes <= LONG))
+        if len(keep) > self.limit // 2:
+            keep = keep[:0]
+        sizes = self.sizes[keep]
+        ends = np.cumsum(sizes)
+        self.flat = self.flat[_places(self.starts[keep], sizes, ends)]
+        self.strings, self.starts, self.sizes = self.strings.take(pa.array(keep)), ends - sizes, sizes
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places of the runs that begin at ``starts``."""
+    out = np.repeat(starts - (ends - sizes), sizes)
+    out += np.arange(len(out))
+    return out
+
+
+def _by_library(tokenizer, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, their number for each) of strings that the tokenizer encodes one by one."""
+    ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(strings), CALL):
+        part = strings[at : at + CALL]
+        made = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+        ids.append(np.array(made.ids, dtype=np.int32))
+        sizes.append(np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(part)))
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
 class PieceEncoder:
-    """Ids of texts under a BPE of words: (int32 little-endian bytes) of each text."""
+    """Ids of texts under a BPE of words."""
 
     def __init__(self, path: str, cache: int = CACHE):
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model, self.limit = self.whole.model, cache
-        state = __import__("json").loads(self.whole.to_str())
+        state = json.loads(self.whole.to_str())
         split, level = state["pre_tokenizer"]["pretokenizers"]
         kinds = [n["type"] for n in state["normalizer"]["normalizers"]]
-        if kinds != ["NFC", "Replace", "Lowercase"] or level["type"] != "ByteLevel" or level["add_prefix_space"]:
-            raise ValueError("this encoder is for NFC, lower case, split words and byte-level BPE")
-        self.find = regex.compile(split["pattern"]["Regex"]).findall
+        if kinds != ["NFC", "Replace", "Lowercase"] or level["type"] != "ByteLevel" or level["add_prefix_space"] or split["pattern"] != {"Regex": PATTERN}:
+            raise ValueError("this encoder is for NFC, lower case, words split by its pattern and byte-level BPE")
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or set(t["content"]) & set(BLANKS) for t in state["added_tokens"]):
+            raise ValueError("this encoder is for special tokens that stand for their own string alone")
+        self.special = [t["content"].encode() for t in state["added_tokens"]]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE shows as themselves
         rest = iter(range(256, 512))
-        self.letter = [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-        self.special = [t["content"] for t in state["added_tokens"]]
-        self.whole_only = re.compile("|".join(map(re.escape, ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", *self.special])))
-        self.words: dict[str, bytes] = {}
-        encoder = self
-
-        class Pieces(dict):
-            def __missing__(self, piece):
-                found = encoder.piece(piece)
-                if len(self) >= encoder.limit:
-                    self.clear()
-                if len(piece) <= 64:
-                    self[piece] = found
-                return found
-
-        self.pieces = Pieces()
-        self.foreign = re.compile("[^\x00-\x7f" + "".join(map(re.escape, self._proven())) + "]")
-        self.pieces.clear()
-
-    def _proven(self) -> list[str]:
-        """Characters below U+0500 that this encoder treats as the library does, alone and beside others. Combining
-        marks, final sigma and dotted I depend on what stands beside them and are left out."""
-        good = []
-        for code in (*range(0x80, 0x300), *range(0x370, 0x500)):
-            c = chr(code)
-            if c in "\x85\u03a3\u0130" or not c.isprintable() or normalize("NFD", c)[0] in ("\u0308",):
-                continue
-            beside = (c, f"a{c}", f"{c}a", f"a{c}b", f"1{c}2", f"{c}.", f"{c},", f"-{c}-", f"{c}{c}", f"'{c}s's")
-            if all(self._own(x) == self._library(x) for x in beside):
-                good.append(c)
-        return good
-
-    def _library(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
-
-    def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            shown = word if word.isascii() and word.isalnum() else "".join(map(self.letter.__getitem__, word.encode()))
-            found = array("i", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            if len(self.words) >= self.limit:
-                self.words.clear()
-            if len(word) <= 64:
-                self.words[word] = found
-        return found
-
-    def _own(self, piece: str) -> bytes:
-        piece = (piece if piece.isascii() else normalize("NFC", piece)).lower()
-        last = piece[-1]
-        body, stop = (piece[:-1], last) if last == "." or last == "," else (piece, "")
-        if len(body) > 1 and body.isalpha():  # a word and perhaps a stop: what the pattern would find
-            return self.word(body) + (self.word(stop) if stop else b"")
-        return b"".join(map(self.word, self.find(piece)))
-
-    def piece(self, piece: str) -> bytes:
-        return self._own(piece) if piece.isascii() or not self.foreign.search(piece) else self._library(piece)
+        self.letter = {b: b if b in plain else next(rest) for b in range(256)}
+        self.letter[10] = 10  # stands between words
+        self.model = Tokenizer.from_str(json.dumps({**state, "normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+        self._classes()
+        self.words, self.few = Known(self._make, cache), Known(self._make, min(cache, FEW))
+
+    def _classes(self) -> None:
+        """What the pattern takes each character below U+0500 for. Odd are all that this encoder doesn't treat, alone or
+        beside others, as the library does. Combining marks, final sigma and dotted I depend on what stands beside them."""
+        import regex
+
+        of = regex.compile(r"(\p{L})|(\p{N})|.", regex.DOTALL)
+        kind = [of.match(chr(c)).lastindex or OTHER for c in range(TOP)]
+        tried = [c for c in (*range(0x80, 0x300), *range(0x370, TOP)) if c not in (0x85, 0x3A3, 0x130) and chr(c).isprintable() and normalize("NFD", chr(c))[0] != "\u0308"]
+        self.kind = np.full(256, ODD, dtype=np.uint8)
+        self.kind[:128] = kind[:128]
+        self.kind[list(map(ord, BLANKS))] = BLANK
+        self.kind[[0x1C, 0x1D, 0x1E, 0x1F, ord("'")]] = ODD  # separators; what may begin a clitic
+        self.pairs = np.full(TOP, ODD, dtype=np.uint8)
+        self.pairs[tried] = np.array(kind)[tried]
+        self.words = self.few = Known(self._make, CACHE)
+        beside = [x for c in map(chr, tried) for x in (c, f"a{c}", f"{c}a", f"a{c}b", f"1{c}2", f"{c}.", f"{c},", f"-{c}-", f"{c}{c}", f"{c}s's")]
+        own, library = (np.split(ids, np.cumsum(sizes)[:-1]) for ids, sizes in (self.texts(beside), _by_library(self.whole, beside)))
+        same = np.array([np.array_equal(x, y) for x, y in zip(own, library, strict=True)]).reshape(len(tried), -1).all(axis=1)
+        self.pairs[np.array(tried)[~same]] = ODD
+
+    def _make(self, strings: list[str], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if odd.any():
+            own, library = self._make([s for s, o in zip(strings, odd, strict=True) if not o], np.zeros(1, bool)), _by_library(self.whole, [s for s, o in zip(strings, odd, strict=True) if o])
+            sizes = np.zeros(len(strings), dtype=np.int64)
+            sizes[~odd], sizes[odd] = own[1], library[1]
+            ids, whose = np.zeros(sizes.sum(), dtype=np.int32), np.repeat(odd, sizes)
+            ids[~whose], ids[whose] = own[0], library[0]
+            return ids, sizes
+        if not strings:
+            return _by_library(self.model, [])
+        text = "\n".join(strings)
+        text = (text if text.isascii() else normalize("NFC", text)).lower()
+        return _by_library(self.model, text.encode().decode("latin-1").translate(self.letter).split("\n"))
+
+    def _cut(self, data: np.ndarray, offsets: np.ndarray):
+        """Words of texts that stand one after the other: (strings, which are odd, number of words before each text). A
+        run between blanks that holds an odd character or a special token is one odd word."""
+        import pyarrow as pa
+
+        n, begins = len(data), offsets[:-1][offsets[:-1] < len(data)]
+        kind = self.kind[data]
+        lead = np.flatnonzero((data >= 0xC2) & (data < 0xC0 + TOP // 64))
+        kind[lead] = kind[lead + 1] = self.pairs[(data[lead] & 31).astype(np.int64) << 6 | data[lead + 1] & 63]
+        raw = data.tobytes()
+        for special in self.special:
+            at = raw.find(special)
+            while at >= 0:
+                kind[at] = ODD
+                at = raw.find(special, at + 1)
+        start = kind == NUMBER
+        start[lead + 1] = False
+        start[1:] |= kind[1:] != kind[:-1]
+        start[begins] = True
+        solid, odd = kind != BLANK, None
+        if len(at := np.flatnonzero(kind == ODD)):
+            edge = ~solid
+            edge[1:] |= edge[:-1]
+            edge[begins] = True  # blanks, what follows them, beginnings
+            edges = np.append(np.flatnonzero(edge), n)
+            which = np.unique(np.searchsorted(edges, at, side="right"))
+            inside = np.zeros(n + 1, dtype=np.int8)
+            inside[edges[which - 1]] += 1
+            inside[edges[which]] -= 1
+            odd = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+            start &= ~odd
+            start[edges[which - 1]] = True
+        first = np.flatnonzero(start[solid])
+        if odd is not None:
+            odd = odd[solid][first]
+        text = data[solid]
+        strings = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.append(first, len(text)).astype(np.int32)), pa.py_buffer(text))
+        return strings, odd, np.searchsorted(np.flatnonzero(start & solid), offsets)
+
+    def texts(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, the number of each text's); null is empty."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        if not len(texts) or offsets[0] == offsets[-1]:
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        strings, odd, bounds = self._cut(np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0])
+        if not len(strings):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        known = self.words if 4 * len(strings) >= len(self.words.strings) else self.few  # few words: not for the price of all
+        ids, ends = known.ids(strings, odd)
+        return ids, np.diff(np.append(0, ends)[bounds])
 
     def text(self, text: str) -> bytes:
-        if self.whole_only.search(text):
-            return self._library(text)
-        return b"".join(map(self.pieces.__getitem__, text.split()))
+        return self.texts([text])[0].astype("<i4", copy=False).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -132,14 +238,13 @@ def encoder(path: str, end_id: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, part, offset = shared_encoder(path).text, TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<i4").tobytes()
-        for batch in slices(batches):
-            rows = [encode(t or "") + end for t in batch.column("text").to_pylist()]
-            sizes = np.array([len(r) // 4 for r in rows], dtype=np.int64)
+        encode, part, offset = shared_encoder(path).texts, TaskContext.get().partitionId(), 0
+        for batch in slices(batches, rows=SLICE):
+            flat, sizes = encode(batch.column("text"))
+            flat, sizes = np.insert(flat, np.cumsum(sizes), end_id), sizes + 1
             ends = np.concatenate([[0], np.cumsum(sizes)])
-            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))
-            columns = [batch.column("doc_id"), pa.array(np.full(len(rows), part, np.int32)), pa.array(ends[:-1] + offset), pa.array(sizes.astype(np.int32)), ids]
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+            columns = [batch.column("doc_id"), pa.array(np.full(len(sizes), part, np.int32)), pa.array(ends[:-1] + offset), pa.array(sizes.astype(np.int32)), ids]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "offset", "n_tokens", "ids"])
             offset += int(ends[-1])
 
