@@ -629,6 +629,22 @@ def test_piece_encoder_in_batches():
     assert sizes.tolist()[1:] == [0, 0] and ids.tolist() == whole.encode("aé " * 3, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("segment", [1, 7, 64])
+def test_piece_encoder_cuts_long_texts_at_blanks(monkeypatch, segment):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "SEGMENT", segment)
+    whole, own = Tokenizer.from_file(token_files.tokenizer_path()), token_files.PieceEncoder(token_files.tokenizer_path())
+    rng = random.Random(5)
+    parts = ["alpha", "Beta", "é", "12", ",", "'s", "\u0301", "東京", "<|endoftext|>", "a" * 90, " ", " ", "\n", "\u3000"]
+    for size in (1, 1, 1, 5, 40):
+        texts = [rng.choice([None, ""]) if rng.random() < 0.2 else "".join(rng.choices(parts, k=rng.randrange(1, 60))) for _ in range(size)]
+        ids, sizes = own.texts(pa.array(texts, pa.string()))
+        want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(spark, odd, rule):
     encoding, width = token_counts.load(*token_counts.rank_file())

@@ -10,7 +10,7 @@ place in the whole stream is its part's base (a running sum of the parts' totals
 Encoding. No pre-token of this kind of tokenizer spans white space. A slice of texts is cut as bytes, by what the pattern
 takes ASCII and those letters and signs below U+0500 for that the encoder finds, when it starts, to be treated as the
 library does it. Equal words are found by one hashing of the slice beside the known words; only new ones are normalised and
-go to the library's model, many in a call (a bounded cache per worker, a small one for few words). A run between ASCII
+go to the library's model, many in a call (a bounded cache per worker, a small one for few words); a long text is taken in segments. A run between ASCII
 blanks that holds any other character, an apostrophe or the string of a special token goes to the library's ``encode`` as
 it is. All give the library's own ids.
 
@@ -34,7 +34,7 @@ from ._words import slices
 END_ID = 1
 ROW_GROUP, PAGE, CACHE = 16 << 20, 256 << 10, 400_000
 LONG, CALL, FEW = 64, 1 << 14, 1 << 12  # most ids of a string that is kept when a cache is full; strings in a call of the library; a small cache
-SLICE = 1 << 14  # most texts encoded together; their bytes are bounded by slices()
+SLICE, SEGMENT = 1 << 14, 16 << 20  # most texts in a slice, whose bytes slices() bounds; bytes that are cut together
 BLANKS = " \t\n\x0b\x0c\r"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BLANK, LETTER, NUMBER, OTHER, ODD = range(5)
@@ -213,15 +213,28 @@ class PieceEncoder:
         import pyarrow.compute as pc
 
         texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
-        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
-        if not len(texts) or offsets[0] == offsets[-1]:
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        strings, odd, bounds = self._cut(np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0])
-        if not len(strings):
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        known = self.words if 4 * len(strings) >= len(self.words.strings) else self.few  # few words: not for the price of all
-        ids, ends = known.ids(strings, odd)
-        return ids, np.diff(np.append(0, ends)[bounds])
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+        ids, sizes = [np.zeros(0, np.int32)], np.zeros(len(texts), dtype=np.int64)
+        data, offsets = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+        for a, b in self._segments(data):
+            strings, odd, bounds = self._cut(data[a:b], np.clip(offsets, a, b) - a)
+            if len(strings):
+                known = self.words if 4 * len(strings) >= len(self.words.strings) else self.few  # few words: not for the price of all
+                part, ends = known.ids(strings, odd)
+                ids.append(part)
+                sizes += np.diff(np.append(0, ends)[bounds])
+        return ids[1] if len(ids) == 2 else np.concatenate(ids), sizes
+
+    def _segments(self, data: np.ndarray):
+        """Ranges of about ``SEGMENT`` bytes that end after a blank, so that a long text needs no more memory at once."""
+        a = 0
+        while a < len(data):
+            b = a + SEGMENT
+            while b < len(data) and not (blank := np.flatnonzero(self.kind[data[b - SEGMENT : b]] == BLANK)).size:
+                b += SEGMENT
+            b = b - SEGMENT + int(blank[-1]) + 1 if b < len(data) else len(data)
+            yield a, b
+            a = b
 
     def text(self, text: str) -> bytes:
         return self.texts([text])[0].astype("<i4", copy=False).tobytes()
