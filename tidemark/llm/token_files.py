@@ -10,9 +10,9 @@ place in the whole stream is its part's base (a running sum of the parts' totals
 Encoding. No pre-token of this kind of tokenizer spans white space. A slice of texts is cut as bytes, by what the pattern
 takes ASCII and those letters and signs below U+0500 for that the encoder finds, when it starts, to be treated as the
 library does it. Equal words are found by one hashing of the slice beside the known words; only new ones are normalised and
-go to the library's model, many in a call (a bounded cache per worker, a small one for few words); a long text is taken in segments. A run between ASCII
-blanks that holds any other character, an apostrophe or the string of a special token goes to the library's ``encode`` as
-it is. All give the library's own ids.
+go to the library's model, many in a call (a bounded cache per worker, a small one for few words); a long text is taken in
+segments. A run between ASCII blanks that holds any other character, an apostrophe or the string of a special token goes
+to the library's ``encode`` as it is. All give the library's own ids.
 
 Defined cases: a null text is empty and has the end id alone; null ids come first and repeated ids stand together,
 ordered by their text; an empty table gives an empty result; other columns aren't read.
